@@ -155,6 +155,12 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+def _mark(h: np.ndarray) -> int:
+    """One 64-bit hash of a whole set."""
+    both = np.array([h.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(h)) if len(h) else 0], np.uint64)
+    return int(np.bitwise_xor.reduce(mix64(both * _P + np.array([1, 2], np.uint64))).astype(np.int64))
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
@@ -165,7 +171,7 @@ def _info(rows: DataFrame, words: int, percent: int) -> DataFrame:
         b = bands(percent)
         for ids, texts in _each(batches):
             sets = [shingle_set(t, words) for t in texts]
-            marks = [int((h.sum(dtype=np.uint64) * _P ^ mix64(np.bitwise_xor.reduce(mix64(h)).reshape(1))[0]).astype(np.int64)) if len(h) else 0 for h in sets]
+            marks = [_mark(h) for h in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(marks, pa.int64()), _lists([short_sketch(h, b.sketch_longs(len(h))) for h in sets])],
                 names=["doc_id", "n", "mark", "sketch"],
