@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.llm import common
 
-CACHE = 600_000
+CACHE = 1_000_000
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
 #: The tokenizer's own split: a piece never crosses from one of these to the next.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -41,9 +41,12 @@ class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with bounded caches of chunks and letter runs."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for letter runs that are split and lower-cased already.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -70,29 +73,40 @@ class ChunkEncoder:
         listed = [p for p in new if p not in self.pieces]
         for at in range(0, len(listed), 2000):
             some = listed[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                self.pieces.update(zip(some, (x.tobytes() for x in np.split(ids, stops[:-1])), strict=True))
+            ids = np.array(self.bare.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            if stops and len(stops) == len(some) and stops[-1] == len(data):
+                self.pieces.update(zip(some, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True))
             else:
                 self.pieces.update((p, self.plain(p)) for p in some)
-        get = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(get, p))) for c, p in split.items())
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in _WHOLE):
-            return self.plain(text)
-        if text.isascii() or not _FURTHER.search(text):
-            words = text.lower().split()
-        else:
-            words = [w if _FURTHER.search(w) else w.lower() for w in text.split()]
-        try:
-            return b"".join(map(self.chunks.__getitem__, words))
-        except KeyError:
-            known = self.chunks
-            unseen = [w for w in dict.fromkeys(words) if w not in known]
-            self.learn(words if len(known) + len(unseen) > CACHE else unseen)
-            return b"".join(map(known.__getitem__, words))
+        pieces = self.pieces
+        self.chunks.update((c, pieces[p[0]] if len(p) == 1 else b"".join([pieces[x] for x in p])) for c, p in split.items())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        waiting: list[tuple[int, list[str]]] = []
+        unseen: dict[str, None] = {}
+        get = self.chunks.__getitem__
+        for i, text in enumerate(texts):
+            if any(s in text for s in _WHOLE):
+                out[i] = self.plain(text)
+                continue
+            if text.isascii() or not _FURTHER.search(text):
+                words = text.lower().split()
+            else:
+                words = [w if _FURTHER.search(w) else w.lower() for w in text.split()]
+            try:
+                out[i] = b"".join(map(get, words))
+            except KeyError:
+                waiting.append((i, words))
+                unseen.update(dict.fromkeys(words))
+        if waiting:
+            missing = [w for w in unseen if w not in self.chunks]
+            self.learn(list(unseen) if len(self.chunks) + len(missing) > CACHE else missing)
+            for i, words in waiting:
+                out[i] = b"".join(map(get, words))
+        return out
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -119,8 +133,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, max_len: int
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = coder.encode(text or "") + end
+                for doc, ids in zip(part.column(0).to_pylist(), coder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    ids += end
                     total, start = len(ids) // 4, 0
                     for n in power_pieces(total, max_len):
                         rows.append((doc, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), total, 0, n.bit_length() - 1))
