@@ -15,6 +15,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows of ids that are broadcast at most (some 50 MB); more are joined by shuffle.
+BROADCAST_LIMIT = 2_000_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir``; a temporary one only on a single machine without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -42,6 +46,11 @@ def at_most(df: DataFrame, limit: int) -> bool:
     return df.count() <= limit
 
 
+def hinted(small: DataFrame, limit: int) -> DataFrame:
+    """``small`` (a kept table) as a broadcast if it has at most ``limit`` rows, else to be shuffled."""
+    return F.broadcast(small) if at_most(small, limit) else small
+
+
 def words_pattern() -> str:
     """Runs of anything but space and the five ASCII white-space controls."""
     return r"[^\x20\x09-\x0D]+"

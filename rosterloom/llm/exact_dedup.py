@@ -53,19 +53,17 @@ def exact_groups(docs: DataFrame, *, keep: str = "smallest", content_hash: Calla
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*_COLUMNS)
 
 
-def exact_dedup(docs: DataFrame, *, keep: str = "smallest") -> DataFrame:
+def exact_dedup(docs: DataFrame, *, keep: str = "smallest", broadcast_limit: int = common.BROADCAST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns; of repeated rows with one id and text, one stays."""
-    return _stay(docs, exact_groups(docs, keep=keep))
-
-
-def _stay(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    dropped = verdicts.filter("not kept").select("doc_id").distinct()
-    repeated = verdicts.filter("kept and group_size > 1").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    rest = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    key = lambda i, sha: F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("null")), sha)
+    verdicts = exact_groups(docs, keep=keep).select(key("doc_id", F.col("text_sha256")).alias("__row"), "kept").groupBy("__row", "kept").agg(F.count(F.lit(1)).alias("n"))
+    odd = common.keep(verdicts.filter("not kept or n > 1"), "exact-copies")
+    rows = docs.withColumn("__row", key("doc_id", F.sha2(common.text_or_empty(), 256)))
+    rest = rows.join(common.hinted(odd.select("__row"), broadcast_limit), "__row", "left_anti").select(docs.columns)
+    repeated = odd.filter("kept").select("__row")
     if repeated.isEmpty():
         return rest
-    single = rest.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(rest.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    return rest.unionByName(rows.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

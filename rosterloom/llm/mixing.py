@@ -113,10 +113,11 @@ def _rank(rows: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("b1", F.floor(scaled)).withColumn("b2", F.floor((scaled - F.floor(scaled)) * BINS))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, *, broadcast_limit: int = common.BROADCAST_LIMIT, **options) -> DataFrame:
     """``docs`` as the mix takes them: documents with no copy go, those with several are repeated."""
-    copies = mix(docs, **options).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    joined = docs.join(copies, "doc_id")
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies"))
+    taken = common.hinted(common.keep(taken.filter("__copies > 0"), "mix-copies"), broadcast_limit)
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
 
 

@@ -43,7 +43,6 @@ from pyspark.sql import functions as F
 from rosterloom.llm import common
 
 LEVELS = 6
-BROADCAST_LIMIT = 2_000_000
 _SLICE = 256
 _BLOCK = 512
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -197,11 +196,6 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, members array<long>")
 
 
-def _hinted(small: DataFrame, limit: int) -> DataFrame:
-    """``small`` (a kept table) as a broadcast if it has at most ``limit`` rows, else to be shuffled."""
-    return F.broadcast(small) if common.at_most(small, limit) else small
-
-
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): rows (doc, component) for each linked document but the component's smallest."""
     edges = common.keep(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct(), "edges")
@@ -237,7 +231,7 @@ def _may_link(percent: int):
 def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
     """Those of the kept pairs (a, b) whose shingle sets are similar."""
     asked = common.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "to-verify")
-    sets = _sets(rows.join(_hinted(asked, limit), "doc_id", "left_semi"), words).dropDuplicates(["doc"])
+    sets = _sets(rows.join(common.hinted(asked, limit), "doc_id", "left_semi"), words).dropDuplicates(["doc"])
     met = pairs.join(sets.select(F.col("doc").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("doc").alias("a"), F.col("members").alias("ma")), "a")
     met = met.withColumn("both", F.size(F.array_intersect("ma", "mb")))
     return met.filter(100 * F.col("both") >= percent * (F.size("ma") + F.size("mb") - F.col("both"))).select("a", "b")
@@ -290,7 +284,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "doc").mapInPandas(run, "a long, b long").distinct()
 
 
-def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, broadcast_limit: int = common.BROADCAST_LIMIT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id that links reach).
 
     Two documents link when their shingle sets' Jaccard similarity is at least ``percent`` / 100.
@@ -302,7 +296,7 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, broad
     first = named.groupBy("mark", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     copies = common.keep(named.join(first, ["mark", "n"]).filter("doc_id > first").select("doc_id", "first").distinct(), "same-sets")
 
-    single = rows.filter("doc_id is not null").join(_hinted(copies.select("doc_id"), broadcast_limit), "doc_id", "left_anti")
+    single = rows.filter("doc_id is not null").join(common.hinted(copies.select("doc_id"), broadcast_limit), "doc_id", "left_anti")
     within = W.partitionBy("key").orderBy("doc")
     met = _keys(single, words, percent).select("key", "doc", F.first("doc").over(within).alias("hub"), F.lag("doc").over(within).alias("prev"), F.lead("doc").over(within).alias("next"), F.row_number().over(within).alias("place"))
     met = common.keep(met.filter("prev is not null or next is not null").drop("next"), "equal-pieces")
@@ -331,10 +325,10 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, broad
     return info.join(placed, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, broadcast_limit: int = common.BROADCAST_LIMIT) -> DataFrame:
     """``docs`` without the documents that have a smaller id in their component; rows of an id that stays all stay."""
     gone = common.keep(near_components(docs, words=words, percent=percent, broadcast_limit=broadcast_limit).filter("component_id < doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(_hinted(gone, broadcast_limit), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(common.hinted(gone, broadcast_limit), "doc_id", "left_anti").select(docs.columns)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
