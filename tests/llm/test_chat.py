@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ def test_template_is_reversible_and_spans_are_exact():
         assert [s[2:] for s in spans] == [p[2:] for p in parsed]
         assert [s[0] for s in spans] == [0, *[s[1] for s in spans[:-1]]]
         for _, text in turns:
-            assert not any(c in chat.escape(text).replace("\\\\", "").replace("\\<", "").replace("\\[", "") for c in ("<s>", "</s>", "[INST]", "[/INST]"))
+            hidden = chat.escape(text)
+            assert all(chat._odd_backslashes(hidden, m.start()) for m in re.finditer(r"</?s>|\[/?INST\]", hidden)) and chat.unescape(hidden) == text
 
 
 def test_rewriting_templates_are_detected():

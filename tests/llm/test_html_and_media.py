@@ -37,7 +37,7 @@ def test_pages_of_the_table(spark, sf_dir):
 
 def test_extract_odd_tables(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, None, "<p>a</p>", "y"), (None, "v", "", "z")], "page_id long, url string, html string, text string")
-    assert sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_text.extract(df).collect()), key=str) == [(1, None, "a", 1), (1, "u", "", 0), (None, "v", "", 0)]
+    assert sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_text.extract(df).collect()), key=str) == [(1, "u", "", 0), (1, None, "a", 1), (None, "v", "", 0)]
     assert html_text.extract(df.limit(0)).collect() == []
 
 
