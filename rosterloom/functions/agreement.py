@@ -15,13 +15,15 @@ from rosterloom.functions import tokens as tk
 from rosterloom.functions import vocab
 from rosterloom.functions.nicknames import SEED, NicknameDictionary, nickname_token
 from rosterloom.functions.parse import strip_name_noise
-from rosterloom.functions.text import col, compact_name_key, has_name_information, name_key, nm_key, normalize_string
+from rosterloom.functions.text import col, compact_name_key, has_name_information, name_key, nm_key, normalize_string, quoted
 
 CORROBORATES, CONFLICTS, UNINFORMATIVE = "corroborates", "conflicts", "uninformative"
 
 
 def lookup(table: dict[str, object], x: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), x)
+    """Value of a small table, or null; the table is a literal that is parsed at once."""
+    text = lambda v: quoted(v) if isinstance(v, str) else str(v)
+    return F.try_element_at(F.expr(f"map({', '.join(text(v) for kv in table.items() for v in kv)})"), x)
 
 
 def verdict(known: Column, agrees: Column) -> Column:

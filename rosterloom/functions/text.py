@@ -31,6 +31,13 @@ def _one_to_one() -> tuple[str, str]:
 
 
 _FROM, _TO = _one_to_one()
+_CAPITALS = "".join(c for c in vocab.EXPANSIONS if c.isupper())
+_SMALL = {c: to for c, to in vocab.EXPANSIONS.items() if not c.isupper()}
+
+
+def quoted(value: str) -> str:
+    """A literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def transliterate_upper(x: Column | str) -> Column:
@@ -38,7 +45,9 @@ def transliterate_upper(x: Column | str) -> Column:
     out = F.regexp_replace(col(x), "\\x00", " ")
     for vowel in "uoa":
         out = F.regexp_replace(out, f"[{vowel}{vowel.upper()}]̈(?!\\p{{Mn}})", vowel.upper() + "E")
-    out = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), vocab.EXPANSIONS.items(), out)
+    # capitals of the letters that expand first become small ones, so each pair takes one step
+    out = F.translate(out, _CAPITALS, _CAPITALS.lower())
+    out = reduce(lambda c, kv: F.regexp_replace(c, kv[0], kv[1]), _SMALL.items(), out)
     return F.upper(F.translate(F.regexp_replace(out, "\\p{Mn}", ""), _FROM, _TO))
 
 

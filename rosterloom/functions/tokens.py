@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions import vocab
-from rosterloom.functions.text import blank_na, col, name_key, nm_key, trim_white
+from rosterloom.functions.text import blank_na, col, name_key, nm_key, quoted, trim_white
 
 
 def strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """An array literal, parsed at once."""
+    return F.expr(f"array({', '.join(map(quoted, values))})")
 
 
 def _tokens(x: Column, separators: str, keep) -> Column:
