@@ -11,7 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in an Arrow batch to Python; texts may be long, and Spark's default of 10,000 holds too many of them.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the corpus; where the session has Spark's default batch size, texts go to Python in smaller batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

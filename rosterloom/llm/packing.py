@@ -6,7 +6,8 @@ sequence crosses documents; ``bucket`` (the exponent) tells which pieces have eq
 
 The tokenizer lower-cases and drops white space, so a text's ids are those of its white-space chunks in turn. Chunks
 repeat, so each Python worker keeps the ids of the pieces it has seen as bytes; only unseen letter runs reach the
-tokenizer, many at a time. The caches start anew when they reach ``CACHE`` entries, so memory stays bounded.
+tokenizer, many at a time. When a cache reaches ``CACHE`` entries, the half
+met last goes, so memory stays bounded.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1; repeated rows are packed each; an empty
 table gives an empty result. sequence_id numbers the pieces as the scan meets them, the same whenever a task is rerun.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.llm import common
 
-CACHE = 1_000_000
+CACHE = 300_000
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
 #: The tokenizer's own split: a piece never crosses from one of these to the next.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -37,6 +38,13 @@ _FURTHER = regex.compile(r"[^\x00-\u0130\u0132-\u0148\u014A-\u0177\u2010-\u2027]
 _LOADED: dict[str, "ChunkEncoder"] = {}
 
 
+def _thin(cache: dict) -> None:
+    """Keeps the half that was met first: frequent chunks come early."""
+    kept = dict(islice(cache.items(), CACHE // 2))
+    cache.clear()
+    cache.update(kept)
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with bounded caches of chunks and letter runs."""
 
@@ -58,8 +66,6 @@ class ChunkEncoder:
 
     def learn(self, unseen: list[str]) -> None:
         """Fill both caches for chunks that are not there."""
-        if len(self.chunks) + len(unseen) > CACHE:
-            self.chunks.clear()
         split, new = {}, set()
         for c in unseen:
             if not c.isascii() and _FURTHER.search(c):
@@ -68,8 +74,7 @@ class ChunkEncoder:
                 split[c] = _PIECES.findall(c)
                 new.update(split[c])
         if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-            new = set(chain.from_iterable(split.values()))
+            _thin(self.pieces)
         listed = [p for p in new if p not in self.pieces]
         for at in range(0, len(listed), 2000):
             some = listed[at : at + 2000]
@@ -103,7 +108,10 @@ class ChunkEncoder:
                 unseen.update(dict.fromkeys(words))
         if waiting:
             missing = [w for w in unseen if w not in self.chunks]
-            self.learn(list(unseen) if len(self.chunks) + len(missing) > CACHE else missing)
+            if len(self.chunks) + len(missing) > CACHE:
+                _thin(self.chunks)
+                missing = [w for w in unseen if w not in self.chunks]
+            self.learn(missing)
             for i, words in waiting:
                 out[i] = b"".join(map(get, words))
         return out
