@@ -30,6 +30,7 @@ null id stays alone with a null component; an empty table gives an empty result;
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,6 +44,8 @@ from pyspark.sql import functions as F
 from rosterloom.llm import common
 
 LEVELS = 6
+#: At most so many rounds in which open groups meet a document of their largest component, before the exact round.
+HUB_TURNS = 8
 _SLICE = 256
 _BLOCK = 512
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -238,7 +241,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int, limit
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within each key that sizes and sketches allow; rows come sorted by key."""
+    """Pairs of different components within each key that sizes and sketches allow; rows come sorted by key.
+
+    A pair meets in many keys. So a key gives a row for each document outside its largest component, with the documents it
+    may link to, and these are united by document before they become pairs.
+    """
 
     def pairs_of(docs, comps, sizes, sketches):
         least = min(map(len, sketches))
@@ -248,6 +255,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             while len(s) > least:
                 s = s[: len(s) // 2] ^ s[len(s) // 2 :]
             flat.append(s)
+        main = Counter(comps).most_common(1)[0][0]
         m, d, c, n = np.stack(flat), np.array(docs, np.int64), np.array(comps, np.int64), np.array(sizes, np.int64)
         for i in range(0, len(d), _BLOCK):
             for k in range(i, len(d), _BLOCK):
@@ -260,7 +268,9 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                 for s in range(0, len(at), 65536):
                     p, q = at[s : s + 65536, 0] + i, at[s : s + 65536, 1] + k
                     near = np.bitwise_count(m[p] ^ m[q]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (100 - percent) * (n[p] + n[q])
-                    yield np.minimum(d[p[near]], d[q[near]]), np.maximum(d[p[near]], d[q[near]])
+                    p, q = p[near], q[near]
+                    own = (c[p] != main) & ((c[q] == main) | (d[p] < d[q]))
+                    yield np.where(own, d[p], d[q]), np.where(own, d[q], d[p])
 
     def run(frames):
         import pandas as pd
@@ -269,9 +279,14 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
         def done():
             if len(group) > 1:
-                for a, b in pairs_of(*zip(*group, strict=True)):
-                    if len(a):
-                        yield pd.DataFrame({"a": a, "b": b})
+                found = defaultdict(list)
+                for own, other in pairs_of(*zip(*group, strict=True)):
+                    order = np.argsort(own, kind="stable")
+                    docs, starts = np.unique(own[order], return_index=True)
+                    for x, part in zip(docs.tolist(), np.split(other[order], starts[1:]), strict=True) if len(docs) else ():
+                        found[x].append(part)
+                if found:
+                    yield pd.DataFrame({"doc": list(found), "partners": [np.concatenate(v) for v in found.values()]})
 
         for frame in frames:
             for k, *row in zip(frame["key"], frame["doc"], frame["comp"], frame["n"], frame["sketch"], strict=True):
@@ -281,7 +296,10 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
                 group.append(row)
         yield from done()
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc").mapInPandas(run, "a long, b long").distinct()
+    found = rows.repartition("key").sortWithinPartitions("key", "doc").mapInPandas(run, "doc long, partners array<long>")
+    united = found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
+    pairs = united.select("doc", F.explode("partners").alias("other"))
+    return pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, broadcast_limit: int = common.BROADCAST_LIMIT) -> DataFrame:
@@ -289,11 +307,12 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, broad
 
     Two documents link when their shingle sets' Jaccard similarity is at least ``percent`` / 100.
     """
+    common.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     info = common.keep(_info(rows, words, percent), "sketches")
     named = info.filter("n > 0 and doc_id is not null")
 
-    first = named.groupBy("mark", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    first = common.keep(named.groupBy("mark", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"), "set-groups")
     copies = common.keep(named.join(first, ["mark", "n"]).filter("doc_id > first").select("doc_id", "first").distinct(), "same-sets")
 
     single = rows.filter("doc_id is not null").join(common.hinted(copies.select("doc_id"), broadcast_limit), "doc_id", "left_anti")
@@ -310,15 +329,46 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, broad
 
     # groups of four and more: were all of their documents brought together?
     large = met.filter("place >= 4").select("key").distinct()
-    placed = met.join(large, "key", "left_semi").select("key", "doc").distinct().join(parts, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
-    apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    open_ = common.keep(placed.join(apart, "key", "left_semi"), "open-groups")
+    members = common.keep(met.join(large, "key", "left_semi").select("key", "doc").distinct(), "large-groups")
+    sketched = facts.select(F.col("doc_id").alias("doc"), "n", "sketch")
+
+    def still_open() -> DataFrame:
+        """key, doc, comp of the groups that several components share."""
+        placed = members.join(parts, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+        apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
+        return common.keep(placed.join(apart, "key", "left_semi"), "open-groups")
+
+    def add(pairs: DataFrame) -> int:
+        """Verifies the kept pairs, adds what links, and returns how many do."""
+        nonlocal links, parts
+        new = common.keep(_verified(pairs, rows, words, percent, broadcast_limit), "links")
+        if found := new.count():
+            links = links.unionByName(new)
+            parts = components(links)
+        return found
+
+    open_ = still_open()
+    for turn in range(HUB_TURNS):
+        if open_.isEmpty():
+            break
+        # documents outside a group's largest component meet one document of it, another one each turn
+        order = F.xxhash64("doc", F.lit(turn))
+        by_comp = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.min_by("doc", order).alias("hub"))
+        main = by_comp.groupBy("key").agg(F.max(F.struct("size", "comp", "hub")).alias("m")).select("key", "m.comp", "m.hub").withColumnRenamed("comp", "main")
+        meet = open_.join(main, "key").filter("comp <> main").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
+        meet = meet.join(tried, ["a", "b"], "left_anti").join(of("b"), "b").join(of("a"), "a").filter(_may_link(percent)).select("a", "b")
+        meet = common.keep(meet, "pairs")
+        asked = meet.count()
+        found = add(meet) if asked else 0
+        tried = tried.unionByName(meet)
+        if found:
+            open_ = still_open()
+        if found * 10 < asked or not asked:
+            break
     if not open_.isEmpty():
-        more = _across(open_.join(facts.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc"), percent)
-        more = common.keep(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = common.keep(_across(open_.join(sketched, "doc"), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links = links.unionByName(_verified(more, rows, words, percent, broadcast_limit))
-            parts = components(links)
+            add(more)
 
     placed = copies.join(parts.withColumnRenamed("doc", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("component"))
     placed = placed.unionByName(parts.join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti").select(F.col("doc").alias("doc_id"), "component"))

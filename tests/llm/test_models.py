@@ -71,6 +71,17 @@ def test_one_class_or_none(spark, marks):
     assert {r["predicted"] for r in quality.score(x, d).collect()} == {int(bool(marks and marks[0]))}
 
 
+def test_rows_without_id_keep_large_ids_whole(spark):
+    big = 2**60 + 1
+    docs, labels = labelled(spark, ["a scum", "b"] * 30, [1, 0] * 30)
+    odd = documents(spark, ["a scum", None, ""], ids=[big, None, big])
+    model = toxicity.fit(docs, labels)
+    assert sorted((r["doc_id"] or 0) for r in toxicity.score(odd, model).collect()) == [0, big, big]
+    assert sorted((r["doc_id"] or 0) for r in quality.vectors(odd).collect()) == [0, big, big]
+    kept = toxicity.not_toxic(odd.withColumn("n_chars", F.lit(None).cast("long")), labels)
+    assert kept.columns == odd.columns and {r["n_chars"] for r in kept.collect()} <= {None}
+
+
 def test_statistics_of_odd_texts(spark):
     for t in ("", " ", "\n", "é" * 10, "x" * 200_000, "a\n" * 500, "🎉"):
         v = quality.statistics(t)
