@@ -139,6 +139,7 @@ def format_conversations(conversations: DataFrame, template: Callable[[list[Turn
             found = [{"role": r, "start": a, "end": b, "text_start": c, "text_end": d} for (r, _), (a, b, c, d) in zip(turns, spans, strict=True)]
             yield pd.DataFrame({"conv_id": _id(conv), "segment": [number], "formatted": [text], "rewrites_history": [rewrites], "spans": [found]})
 
+    common.ship(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").cast("string").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), common.text_or_empty().alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInPandas(run, _FORMATTED)

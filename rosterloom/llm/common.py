@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,27 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the corpus; where the session has Spark's default batch size, texts go to Python in smaller batches."""
+def ship(spark: SparkSession) -> None:
+    """Sends this library to the executors' Python once for a session, and sets smaller Arrow batches for long texts.
+
+    The batch size changes only where the session has Spark's default.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    sc = spark.sparkContext
+    if getattr(sc, "_rosterloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="rosterloom-")  # the driver's; Spark serves the file to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/rosterloom.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(f"{folder}/rosterloom.zip")
+    sc._rosterloom_shipped = True
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -185,6 +185,7 @@ def extract(pages: DataFrame, *, window: int = WINDOW, threshold: int = THRESHOL
             text = [main_text(h, window, threshold) for h in frame["html"]]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": text, "n_chars": [len(t) for t in text]})
 
+    common.ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string"), "html")
     out = rows.mapInPandas(run, "page_id string, url string, text string, n_chars long")
     return out.withColumn("page_id", F.col("page_id").cast("long"))

@@ -105,6 +105,7 @@ def sequences(pages: DataFrame, html: str = "html", key: str = "doc_id") -> Data
             rows = [(k, i, *e) for k, h in zip(frame["k"], frame["h"], strict=True) for i, e in enumerate(parse_sequence(h or ""))]
             yield pd.DataFrame(rows, columns=["k", "position", "kind", "content", "caption"])
 
+    common.ship(pages.sparkSession)
     rows = pages.select(F.col(key).cast("string").alias("k"), F.col(html).alias("h"))
     out = rows.mapInPandas(run, "k string, position int, kind string, content string, caption string")
     return out.withColumn(key, F.col("k").cast(pages.schema[key].dataType)).select(key, "position", "kind", "content", "caption")
@@ -119,6 +120,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 media = [encode_media(to_payload(t)) for t in frame["text"].iloc[at : at + 256]]
                 yield pd.DataFrame({"digest": [hashlib.sha256(m).hexdigest() for m in media], "media": media})
 
+    common.ship(docs.sparkSession)
     return docs.select(common.text_or_empty().alias("text")).mapInPandas(run, "digest string, media binary").dropDuplicates(["digest"])
 
 
@@ -157,6 +159,7 @@ def as_pages(docs: DataFrame) -> DataFrame:
                 pages.append(f'<article>{lines}<figure><img src="media:{digest}"><figcaption>{len(text)} characters</figcaption></figure></article>')
             yield pd.DataFrame({"doc_id": frame["doc_id"], "html": pages})
 
+    common.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), common.text_or_empty().alias("text"))
     return rows.mapInPandas(run, "doc_id string, html string").withColumn("doc_id", F.col("doc_id").cast("long"))
 

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,11 +69,13 @@ def statistics(text: str) -> list[float]:
 def vectors(docs: DataFrame) -> DataFrame:
     """doc_id and its vector, a row for each row of ``docs``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "x": [statistics(t) for t in frame["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInPandas(run, "doc_id long, x array<double>")
+    common.ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 @dataclass
@@ -153,12 +156,13 @@ def fit(x: DataFrame, labels: DataFrame, label: str, held_out, *, to_pooled: flo
 
 
 def score(x: DataFrame, model: Discriminant) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            s = model.scores(np.stack(frame["x"].to_numpy())) if len(frame) else np.empty(0)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": s, "predicted": (s >= 0.5).astype("int32")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            s = model.scores(np.array(rows)) if rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return x.mapInPandas(run, "doc_id long, score double, predicted int")
+    return x.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def held_out_3(doc_id):

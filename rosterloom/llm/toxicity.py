@@ -26,6 +26,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,7 +146,10 @@ class Model:
         return out
 
     def features(self, text: str) -> list[float]:
-        found = self.clauses(text) if text else []
+        return self.features_of(self.clauses(text) if text else [], text)
+
+    def features_of(self, found: list[tuple[int, int, float]], text: str) -> list[float]:
+        """Of a text's matched clauses: largest and total score, number, and total in proportion to the length."""
         if not found:
             return [0.0, 0.0, 0.0, 0.0]
         total = sum(s for *_, s in found)
@@ -201,6 +205,7 @@ def held_out_5(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, held_out=held_out_5, sample: int = SAMPLE) -> Model:
+    common.ship(docs.sparkSession)
     rows = common.keep(_train_rows(docs, labels, "toxic", held_out, sample), "toxic-sample")
     n = {r["y"]: r["n"] for r in rows.groupBy((F.col("label") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
@@ -228,30 +233,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, held_out=held_out_5, sample: int
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, n_clauses, worst_start, worst_end (the clause with the highest score; null: none)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    names = ["doc_id", "score", "predicted", "n_clauses", "worst_start", "worst_end"]
+    kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for text in frame["text"]:
+            for text in batch.column(1).to_pylist():
                 found = model.clauses(text) if text else []
                 worst = max(found, key=lambda c: (c[2], -c[0])) if found else (None, None, 0.0)
-                out.append((model.score(model.features(text)), len(found), worst[0], worst[1]))
-            s = pd.DataFrame(out, columns=["score", "n_clauses", "worst_start", "worst_end"]).astype({"worst_start": "Int64", "worst_end": "Int64"})
-            s.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            s.insert(2, "predicted", (s["score"] >= 0.5).astype("int32"))
-            yield s
+                p = model.score(model.features_of(found, text))
+                out.append((p, int(p >= 0.5), len(found), worst[0], worst[1]))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInPandas(run, "doc_id long, score double, predicted int, n_clauses long, worst_start long, worst_end long")
+    common.ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, n_clauses long, worst_start long, worst_end long")
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the model calls toxic."""
     model = fit(docs, labels)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[[model.score(model.features(t or "")) < 0.5 for t in frame["text"]]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([model.score(model.features(t or "")) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
