@@ -363,7 +363,7 @@ def near_components(docs: DataFrame, *, words: int = 5, percent: int = 80, broad
         tried = tried.unionByName(meet)
         if found:
             open_ = still_open()
-        if found * 10 < asked or not asked:
+        if found * 2 < asked or not asked:
             break
     if not open_.isEmpty():
         more = common.keep(_across(open_.join(sketched, "doc"), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
