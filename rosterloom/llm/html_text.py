@@ -6,9 +6,10 @@ end a region. Sums over sliding windows of ``window`` lines give the distributio
 ``threshold`` and dives where a sum falls to 0, and the lines between are the text. A page whose largest sum stays below
 the threshold takes half of that sum instead, so short articles are found.
 
-Lengths alone would drop short paragraphs at the ends of an article, so a region grows to its neighbours in the same
-<article> or <main>; on a page without either, to all lines of the division that holds the region's longest line, or, where
-nothing divides the page, to neighbours that aren't links up to the next zone.
+Lengths alone would drop short paragraphs at the ends of an article, so a region grows and never shrinks: on a page with
+<article> or <main>, to the whole of each of them that it touches, back to where the sums were last 0; on a page without
+either, it keeps all its lines but zones and gains those of the smallest division that holds them all, or, where no division
+does, neighbours before it that aren't links up to the next zone.
 
 Defined results: null or empty html, or a page without text, gives an empty text with 0 characters; repeated rows are
 extracted each; other columns are ignored. Character references are decoded; white space in a block (<br> too) is one
@@ -135,6 +136,17 @@ def lines_of(html: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
     return out
 
 
+def _division_of(region: list[tuple[str, int, int, tuple[int, ...]]]) -> int:
+    """The innermost division that holds all lines but zones; 0 where none does."""
+    held = [within for _, _, c, within in region if c]
+    common = 0
+    for numbers in zip(*held):  # noqa: B905
+        if len(set(numbers)) > 1:
+            break
+        common = numbers[0]
+    return common
+
+
 def main_text(html: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     lines = lines_of(html or "")
     lengths = [n if c else 0 for _, n, c, _ in lines]
@@ -145,6 +157,7 @@ def main_text(html: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     inside = any(c > 1 and x for x, (_, _, c, _) in zip(lengths, lines, strict=True))
     level = threshold if max(sums) > threshold else max(sums) / 2
     chosen, at = [False] * n, 0
+    containers: set[int] = set()
     while at < n:
         if sums[at] <= level or not lengths[at] or (inside and lines[at][2] < 2):
             at += 1
@@ -152,28 +165,22 @@ def main_text(html: str | None, window: int = WINDOW, threshold: int = THRESHOLD
         surge = dive = at
         while dive < n and sums[dive]:
             dive += 1
-        home = lines[at][2]
-        longest = max(range(at, min(dive, at + window)), key=lengths.__getitem__)
-        if not inside and lines[longest][3]:
-            division = lines[longest][3][-1]
-            for i, (_, _, c, within) in enumerate(lines):
-                chosen[i] |= c > 0 and division in within
-            at += 1
-            while at < dive and (chosen[at] or not lengths[at]):
-                at += 1
-            continue
-        # to the region's neighbours in its container, up to the next zone
-        while surge and lines[surge - 1][2] == home and (home > 1 or lengths[surge - 1]):
-            surge -= 1
-        end = at
-        while end < n and lines[end][2] == home and (home > 1 or end < dive or lengths[end]):
-            end += 1
-        chosen[surge:end] = [True] * (end - surge)
-        at = max(end, at + 1)
+        if inside:
+            while surge and sums[surge - 1]:
+                surge -= 1
+        elif division := _division_of(lines[surge:dive]):
+            containers.add(division)
+        else:
+            while surge and lengths[surge - 1]:
+                surge -= 1
+        chosen[surge:dive] = [True] * (dive - surge)
+        at = dive
     if inside:
         # zones inside an article split it, but don't end it
-        homes = {lines[i][2] for i in range(n) if chosen[i]}
-        chosen = [lines[i][2] in homes for i in range(n)]
+        homes = {c for (_, _, c, _), y in zip(lines, chosen, strict=True) if y and c > 1}
+        chosen = [c in homes for _, _, c, _ in lines]
+    elif containers:
+        chosen = [y or not containers.isdisjoint(within) for y, (*_, within) in zip(chosen, lines, strict=True)]
     return "\n\n".join(text for (text, _, c, _), y in zip(lines, chosen, strict=True) if y and c and text)
 
 

@@ -23,6 +23,23 @@ def test_article_and_bare_pages():
         assert html_text.main_text(page) == text, page
 
 
+def test_regions_keep_all_their_lines():
+    long, more = ("word " * 40).strip(), ("more " * 40).strip()
+    pages = [
+        (f"<body><div>{long}</div><div>Short.</div><div>{more}</div>", [long, "Short.", more]),  # a division for each paragraph
+        (f"<div><div>{long}</div><div>Short.</div><div>{more}</div><div>End.</div></div>", [long, "Short.", more, "End."]),
+        (f"<h1>Title</h1><div>{long}</div>", ["Title", long]),  # a title outside the division of the text
+        (f"<div><h1>Title</h1><div>{long}</div></div>", ["Title", long]),
+        (f"<p>{long}</p><div class=ad>BUY</div><p>End.</p>", [long, "End."]),  # a short paragraph behind an advert
+        (f"<div><p>{long}</p></div><div class=ad>BUY</div><div><p>End.</p></div>", [long, "End."]),
+        (f"<article><p>{long}</p></article><p>between</p><article><p>Short.</p></article>", [long, "Short."]),  # several articles
+        (f"<article>a</article><article>b</article><article>c</article><article>{long}</article>", ["a", "b", "c", long]),
+        (f"<div>{long}</div><nav>1</nav><nav>2</nav><nav>3</nav><div>far</div>", [long]),  # the sums dive before the last line
+    ]
+    for page, want in pages:
+        assert html_text.main_text(page) == "\n\n".join(want), page
+
+
 def test_pages_of_the_table(spark, sf_dir):
     """Brute force: the pages' articles hold headings and paragraphs and nothing else."""
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
