@@ -6,9 +6,11 @@ span, and where it doesn't, the template rewrites history and the conversation i
 the first change. Inside its span, a turn's text stands where the output changes with the text: the prefix is rendered
 with two one-letter texts, and what these outputs have in common before and behind the letter frames the text.
 
-Rendering every prefix is quadratic, so a long conversation is rendered in segments of at most ``SEGMENT`` turns whose
-outputs follow each other. Rows stream through a worker sorted by conversation and turn; it holds one segment at a time,
-whatever the length of a conversation.
+Rendering every prefix is quadratic, and a template of which nothing is known gets no less: its conversations are held and
+rendered whole, each in one segment. A template marked ``turnwise``, whose output is that of each turn by itself, one after
+the other, as ``inst_template``'s is, has long conversations rendered in segments of at most ``SEGMENT`` turns whose outputs
+follow each other; each boundary is rendered too, and a template that isn't turnwise there is an error. Rows stream through a
+worker sorted by conversation and turn; with segments it holds two at a time, whatever the length of a conversation.
 
 Defined results: turns are ordered by turn (null first), then role, then text; repeated rows are turns each; a null text
 or role is empty; a null conv_id is a conversation of its own; an empty table gives no rows; other columns are ignored.
@@ -51,6 +53,9 @@ def inst_template(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{_role(r)}\n{escape(t)}{CLOSE}" for r, t in turns)
 
 
+inst_template.turnwise = True
+
+
 def _role(role: str) -> str:
     return escape(role).replace("\n", "\\\n")
 
@@ -106,13 +111,13 @@ def render_incrementally(turns: list[Turn], template: Callable[[list[Turn]], str
     return before, spans, rewrites
 
 
-def _segments(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[object, int, list[Turn]]]:
-    """(conv_id, number, turns) of sorted rows, each with at most SEGMENT turns and about SEGMENT_CHARS characters."""
+def _segments(frames: Iterator[pd.DataFrame], cut: bool) -> Iterator[tuple[object, int, list[Turn]]]:
+    """(conv_id, number, turns) of sorted rows; with ``cut`` each has at most SEGMENT turns and about SEGMENT_CHARS characters."""
     conv, number, turns, chars = None, 0, [], 0
     for frame in frames:
         for c, role, text in zip(frame["conv_id"], frame["role"], frame["text"], strict=True):
             same = turns and c == conv
-            if turns and (not same or len(turns) >= SEGMENT or chars + len(text) > SEGMENT_CHARS):
+            if turns and (not same or cut and (len(turns) >= SEGMENT or chars + len(text) > SEGMENT_CHARS)):
                 yield conv, number, turns
                 number, turns, chars = (number + 1 if same else 0), [], 0
             conv = c
@@ -122,6 +127,11 @@ def _segments(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[object, int, lis
         yield conv, number, turns
 
 
+def _check_boundary(before: list[Turn], turns: list[Turn], template: Callable[[list[Turn]], str]) -> None:
+    if template([*before, turns[0]]) != template(before) + template(turns[:1]):
+        raise ValueError("the template is marked turnwise, but a turn's output depends on the turns before it")
+
+
 def _id(conv: str | None):
     """Ids travel as strings, for a null would turn a column of integers into floats."""
     return pd.array([None if conv is None else int(conv)], "Int64")
@@ -131,10 +141,18 @@ _FORMATTED = "conv_id long, segment long, formatted string, rewrites_history boo
 
 
 def format_conversations(conversations: DataFrame, template: Callable[[list[Turn]], str] = inst_template) -> DataFrame:
-    """conv_id, segment, formatted, rewrites_history and the turns' spans; the rows of a conversation come together, in order."""
+    """conv_id, segment, formatted, rewrites_history and the turns' spans; the rows of a conversation come together, in order.
+
+    A conversation has one row, or with a turnwise template a row for each segment, with spans from the segment's start.
+    """
+    turnwise = getattr(template, "turnwise", False)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for conv, number, turns in _segments(frames):
+        before: list[Turn] = []
+        for conv, number, turns in _segments(frames, turnwise):
+            if number:
+                _check_boundary(before, turns, template)
+            before = turns
             text, spans, rewrites = render_incrementally(turns, template)
             found = [{"role": r, "start": a, "end": b, "text_start": c, "text_end": d} for (r, _), (a, b, c, d) in zip(turns, spans, strict=True)]
             yield pd.DataFrame({"conv_id": _id(conv), "segment": [number], "formatted": [text], "rewrites_history": [rewrites], "spans": [found]})

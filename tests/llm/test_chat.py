@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterloom.llm import chat
@@ -58,6 +59,25 @@ def test_digests_equal_brute_force(spark):
     assert many["n_segments"] == 5 and not many["rewrites_history"] and many["formatted_chars"] > 150 * 10
 
 
+def test_templates_of_long_conversations(spark):
+    """No template but a turnwise one is cut: what happens beyond SEGMENT turns is seen, and a header comes once."""
+    texts = [("user", "assistant")[i % 2] for i in range(70)]
+    turns = [(r, f"turn {i}") for i, r in enumerate(texts)]
+    df = spark.createDataFrame([(c, i, *t) for c in (1, 2) for i, t in enumerate(turns[: 30 if c == 2 else 70])], SCHEMA).repartition(3)
+    window = lambda ts: "".join(f"<{t}>" for _, t in ts[-40:])
+    numbered = lambda ts: "BOS " + "".join(f"{i}:{t};" for i, (_, t) in enumerate(ts))
+    for template, rewrites in ((window, True), (numbered, False)):
+        got = {r["conv_id"]: r for r in chat.format_conversations(df, template).collect()}
+        assert len(got) == 2 and not got[2]["rewrites_history"]
+        assert (got[1]["segment"], got[1]["formatted"], got[1]["rewrites_history"]) == (0, template(turns), rewrites)
+        assert got[1]["spans"][-1]["end"] == len(template(turns)) and len(got[1]["spans"]) == 70
+    cut = chat.format_conversations(df).filter("conv_id = 1").orderBy("segment").collect()
+    assert len(cut) == 3 and "".join(r["formatted"] for r in cut) == chat.inst_template(turns)
+    numbered.turnwise = True
+    with pytest.raises(Exception, match="marked turnwise"):
+        chat.format_conversations(df, numbered).collect()
+
+
 def test_no_rows(spark):
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], SCHEMA))).collect() == []
 
