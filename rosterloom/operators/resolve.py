@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 RESOLVED, TIED, CONTESTED, NO_CANDIDATE, YIELDED = "resolved", "ambiguous_tied_evidence", "ambiguous_contested_candidate", "no_candidate", "yielded_to_eligible"
 
+#: Levels of a facet that are read from the data at most.
+MAX_LEVELS = 1000
+
 
 def _require(df: DataFrame, columns: list[str], label: str) -> None:
     if missing := [c for c in dict.fromkeys(columns) if c not in df.columns]:
@@ -36,6 +39,7 @@ def pool_stats(per_candidate: DataFrame, id: str = "id", cls: str = "evidence_cl
     """Per id: n_candidates, best_class, n_at_best, and n_<level> for each level of a facet.
 
     The rows at the best class are counted in one pass: rows per (id, class) first, then the smallest class of each id.
+    Without ``levels`` they are read from the facet; more than MAX_LEVELS of them are an error, for each is a column.
     """
     per_class = per_candidate.groupBy(id, cls).agg(F.count(F.lit(1)).alias("__n"))
     best = F.min(F.struct(F.col(cls), F.col("__n")))
@@ -43,7 +47,9 @@ def pool_stats(per_candidate: DataFrame, id: str = "id", cls: str = "evidence_cl
     if facet is None:
         return out
     if levels is None:
-        levels = [r[0] for r in per_candidate.select(facet).distinct().orderBy(facet).limit(1000).collect() if r[0] is not None]
+        levels = [r[0] for r in per_candidate.select(facet).filter(F.col(facet).isNotNull()).distinct().orderBy(facet).limit(MAX_LEVELS + 1).collect()]
+        if len(levels) > MAX_LEVELS:
+            raise ValueError(f"{facet} has more than {MAX_LEVELS} levels; pass levels, or count them by {id} and {facet}")
     counts = per_candidate.groupBy(id).agg(*[F.count_if(F.col(facet) == F.lit(v)).cast("int").alias(f"n_{v}") for v in levels])
     return out.join(counts, id)
 

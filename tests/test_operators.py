@@ -47,6 +47,13 @@ def test_ordered_classes_ignore_row_order(spark, seed):
         resolve.resolve_best_class(got.per_candidate, got.stats.unionByName(got.stats))
 
 
+def test_facet_levels_are_never_cut(spark):
+    per = lambda n: spark.range(n).selectExpr("id % 7 AS id", "id AS candidate", "1 AS evidence_class", "nullif(id, 0) AS level")
+    assert len(resolve.pool_stats(per(1001), facet="level").columns) == 1004  # a null beside 1,000 levels
+    with pytest.raises(ValueError, match="more than 1000 levels"):
+        resolve.pool_stats(per(1002), facet="level")
+
+
 def test_one_to_one(spark):
     data = [("a", "n1", 1, 0.5), ("a", "n2", 2, 0.9), ("b", "n3", 1, 0.5), ("b", "n4", 1, 0.5), ("c", "n5", 1, None), ("d", "n5", 1, 0.1), ("e", None, 1, 0.1), ("f", " ", 1, 0.2), ("g", "n7", 1, None), ("g", "n8", 1, 0.1)]
     df = spark.createDataFrame(data, "id string, candidate string, priority int, score double")
