@@ -2,9 +2,9 @@
 
 HTML is read into an ordered sequence of structs: texts, and references to media by digest with position and caption.
 Media are kept in a store keyed by the SHA-256 of their stored form; a join on the digest resolves the references, and
-positions and captions stay with the reference, so the sequence is whole again in order. The store is made distinct with
-a map-side part first, so a payload that a third of all rows share crosses the shuffle once per map task; features are
-computed once for each stored payload, from the bytes that are read back.
+positions and captions stay with the reference, so the sequence is whole again in order. The query writes its store to the
+shared folder and reads it again; features are computed once for each stored payload, from the bytes that are read back.
+Only hashes of the texts cross a shuffle to make the store distinct: a repeated text is stored where it comes first.
 
 A text's media form is a portable greymap (binary PGM) 24 samples wide: its UTF-8 bytes as 8-bit samples, filled up with
 255, which no UTF-8 text holds, to a positive multiple of 576.
@@ -111,8 +111,17 @@ def sequences(pages: DataFrame, html: str = "html", key: str = "doc_id") -> Data
     return out.withColumn(key, F.col("k").cast(pages.schema[key].dataType)).select(key, "position", "kind", "content", "caption")
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """digest and stored bytes of each distinct text's media form."""
+def first_texts(docs: DataFrame) -> DataFrame:
+    """The distinct texts of ``docs``, a table of files as it is read, so that file and row tell the first of equal texts."""
+    text, at = common.text_or_empty(), F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    keyed = docs.select(text.alias("text"), F.unhex(F.sha2(text, 256)).alias("hash"), at.alias("at"))
+    groups = keyed.groupBy("hash").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = common.keep(groups.filter("n > 1").select("hash", "first"), "media-repeated")
+    return keyed.join(common.hinted(repeated, common.BROADCAST_LIMIT), "hash", "left").filter("first IS NULL OR at = first").select("text")
+
+
+def encode_texts(docs: DataFrame) -> DataFrame:
+    """digest and stored bytes of each text's media form."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -121,7 +130,12 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"digest": [hashlib.sha256(m).hexdigest() for m in media], "media": media})
 
     common.ship(docs.sparkSession)
-    return docs.select(common.text_or_empty().alias("text")).mapInPandas(run, "digest string, media binary").dropDuplicates(["digest"])
+    return docs.select(common.text_or_empty().alias("text")).mapInPandas(run, "digest string, media binary")
+
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """digest and stored bytes of each distinct text's media form."""
+    return encode_texts(docs).dropDuplicates(["digest"])
 
 
 def read_store(store: DataFrame) -> DataFrame:
@@ -167,5 +181,5 @@ def as_pages(docs: DataFrame) -> DataFrame:
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     media = sequences(as_pages(docs)).filter("kind = 'media'")
-    found = resolve(media, read_store(store_texts(docs)))
+    found = resolve(media, read_store(common.keep(encode_texts(first_texts(docs)), "media-store")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

@@ -3,9 +3,10 @@ import html
 import re
 import zlib
 
+import pytest
 from helpers import documents
 
-from rosterloom.llm import html_text, media
+from rosterloom.llm import common, html_text, media
 
 PAGE = (
     '<html><head><title>x</title><script>if(a<b){"</p>"}</script></head><body class="page has-sidebar"><header>Top</header><nav><a href=x>m</a></nav><div class="cookie-notice">We use cookies</div>'
@@ -82,3 +83,17 @@ def test_round_trip(spark):
         assert (r["media_bytes"], r["media_sha256"], r["content"]) == (len(stored), hashlib.sha256(stored).hexdigest(), hashlib.sha256(stored).hexdigest())
     assert got[2]["feature"] == got[3]["feature"] and media.store_texts(docs).count() == 6
     assert media.store_texts(docs.limit(0)).collect() == [] and media.as_pages(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_query_reads_a_written_store(spark, tmp_path, monkeypatch, limit):
+    """The store is a table of files with each payload once, and the query's features come from it."""
+    texts = ["a", None, "b", "a", "", "c", "a", "b"]
+    documents(spark, texts).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(common, "BROADCAST_LIMIT", limit)
+    found = media.op7_media(spark, str(tmp_path))
+    files = [f for f in found.inputFiles() if "media-store" in f]
+    store = spark.read.parquet(*files).collect()
+    assert sorted(r["digest"] for r in store) == sorted(hashlib.sha256(media.encode_media(media.to_payload(t))).hexdigest() for t in ("", "a", "b", "c"))
+    assert all(hashlib.sha256(r["media"]).hexdigest() == r["digest"] for r in store)
+    assert sorted((r["doc_id"], r["n_bytes"]) for r in found.collect()) == [(i, len(t or "")) for i, t in enumerate(texts)]
