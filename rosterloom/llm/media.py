@@ -117,7 +117,7 @@ def first_texts(docs: DataFrame) -> DataFrame:
     keyed = docs.select(text.alias("text"), F.unhex(F.sha2(text, 256)).alias("hash"), at.alias("at"))
     groups = keyed.groupBy("hash").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     repeated = common.keep(groups.filter("n > 1").select("hash", "first"), "media-repeated")
-    return keyed.join(common.hinted(repeated, common.BROADCAST_LIMIT), "hash", "left").filter("first IS NULL OR at = first").select("text")
+    return keyed.join(common.hinted(repeated, 48, common.BROADCAST_BYTES), "hash", "left").filter("first IS NULL OR at = first").select("text")
 
 
 def encode_texts(docs: DataFrame) -> DataFrame:

@@ -1,17 +1,21 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Three patterns (assigned values, access keys, long hex runs) give the candidate spans of each text. The candidates' hashes
-are then counted over the whole corpus by distinct repository and owner: a value that many owners have is a copied
-example, one that a single owner has and that doesn't look like a placeholder is a live-looking credential. Both verdicts
-are added to a document's spans, as kinds ``live`` and ``copied`` with the bounds of the value.
-
-Only built-in functions: spans come from the lengths of the pieces between matches and of the matches. Texts are read
-once; what they hold is kept as a slim table. Frequencies are aggregated in steps (hash, owner and repository; hash and
-owner; hash), each with a map-side part, so a value in a third of all rows shrinks before each shuffle; its join back is
-a plain equi-join that adaptive execution can split.
+are then counted over the whole corpus by distinct owner and by distinct repository, and every candidate gets one verdict:
+a value that ``wide_owners`` owners or ``wide_repos`` repositories have is a widely copied example (``copied``); of the
+others, one that a single owner has is a live-looking credential (``live``), or a placeholder if it looks like one
+(``dummy``), and one that few owners have is ``shared``. Verdicts are added to a document's spans with the bounds of the
+value.
+
+Only built-in functions. Texts are read once; each pattern's matches and the pieces between them are arrays that a
+generator holds fast, so nothing scans a text again, and start positions are running sums over chunks of matches: the work
+is in proportion to a text's length and matches. What texts hold is kept as a slim table. Frequencies are aggregated in
+steps (hash, owner and repository; hash and owner; hash), each with a map-side part, so a value in a third of all rows
+shrinks before each shuffle; its join back is a plain equi-join that adaptive execution can split.
 
 Defined results: a null text counts as empty; a document without candidates has empty lists; repeated rows are reported
-each and count once for a repository; a null owner or repository is one of its own; an empty table gives an empty result.
+each and count once for a repository; a null owner or repository is one of its own; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,32 +31,49 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-ADDED = ("live", "copied")
+ADDED = ("live", "copied", "shared", "dummy")
 PLACEHOLDER = r"(?i)example|placeholder|changeme|change_me|your[_-]|dummy|sample|xxxx|0000000|1234567"
-WIDE_OWNERS = 3
-
-
-def _matches(text: Column, pattern: str, group: int, least: int, rank: int) -> Column:
-    """array<struct<start, rank, end, value>> of a pattern's matches whose group is long enough."""
-    whole, inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
+WIDE_OWNERS, WIDE_REPOS = 3, 4
+#: Matches whose starts are summed in one go.
+CHUNK = 256
+
+
+def _held(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns, each computed once: Spark moves no expression across a generator."""
+    made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return rows.select("*", F.explode(made).alias("held")).select(*rows.columns, "held.*")
+
+
+def _spans(rows: DataFrame, name: str, pattern: str, group: int, least: int, rank: int) -> DataFrame:
+    """``rows`` with the column ``name``: array<struct<start, rank, end, value>> of a pattern's matches whose group is long enough."""
+    text, quoted, kept = F.col("text"), F.lit(pattern), rows.columns
+    rows = _held(rows, whole=F.regexp_extract_all(text, quoted, F.lit(0)), inner=F.regexp_extract_all(text, quoted, F.lit(group)), between=F.split(text, pattern, -1))
+    step = F.transform("whole", lambda m, i: F.struct(F.length(F.get("between", i)).alias("gap"), F.length(m).alias("size"), F.get("inner", i).alias("value")))
+    rows = _held(rows, step=step).drop("whole", "inner", "between")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("step") - 1) / CHUNK).cast("int")), lambda c: F.slice("step", c * CHUNK + 1, CHUNK))
+    rows = _held(rows, chunks=F.when(F.size("step") > 0, chunks).otherwise(F.array().cast("array<array<struct<gap:int,size:int,value:string>>>"))).drop("step")
+    sums = F.transform("chunks", lambda c: F.aggregate(c, F.lit(0), lambda at, m: at + m["gap"] + m["size"]))
+    rows = _held(rows, sums=sums)
+    starts = F.aggregate("sums", F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    rows = _held(rows, starts=starts).drop("sums")
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
 
-    def add(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(between, i))
-        end = start + F.length(F.get(whole, i))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.get(inner, i).alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def add(state: Column, m: Column) -> Column:
+        start = state["at"] + m["gap"]
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + m["size"]).alias("end"), m["value"].alias("value"))
+        return F.struct((start + m["size"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    walk = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda s: s["out"])
-    return F.when(F.size(whole) > 0, F.filter(walk, lambda s: F.length(s["value"]) >= least)).otherwise(empty)
+    of_chunk = lambda c, i: F.aggregate(c, F.struct(F.get("starts", i).alias("at"), empty.alias("out")), add, lambda s: s["out"])
+    found = F.filter(F.flatten(F.transform("chunks", of_chunk)), lambda s: F.length(s["value"]) >= least)
+    return _held(rows, **{name: found}).select(*kept, name)
 
 
 def candidates(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     """row, doc_id, repo, owner, base: the candidate spans of each row in order of start, then kind."""
-    text = common.text_or_empty()
-    found = docs.select("doc_id", repo.alias("repo"), owner.alias("owner"), *[_matches(text, p, g, n, i).alias(k) for i, (k, p, g, n) in enumerate(KINDS)])
-    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", F.array_sort(F.concat(*[k for k, *_ in KINDS])).alias("base"))
+    rows = docs.select("doc_id", repo.alias("repo"), owner.alias("owner"), common.text_or_empty().alias("text"))
+    for i, (kind, pattern, group, least) in enumerate(KINDS):
+        rows = _spans(rows, kind, pattern, group, least, i)
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", F.array_sort(F.concat(*[k for k, *_ in KINDS])).alias("base"))
 
 
 def _text_of(spans: Column, kinds: tuple[str, ...]) -> Column:
@@ -60,11 +81,11 @@ def _text_of(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, *, repo: Column | None = None, owner: Column | None = None, wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """One row per document: doc_id, counts by kind, base_sha256, spans, n_live, n_copied.
+def scan(docs: DataFrame, *, repo: Column | None = None, owner: Column | None = None, wide_owners: int = WIDE_OWNERS, wide_repos: int = WIDE_REPOS) -> DataFrame:
+    """One row per document: doc_id, counts by kind, base_sha256, spans, and a count for each verdict.
 
     repo, owner: columns of ``docs``; by default source with language, and source.
-    wide_owners: from so many distinct owners on, a value is a copied example.
+    wide_owners, wide_repos: from so many distinct owners or repositories on, a value is a copied example.
     """
     base = common.keep(candidates(docs, F.concat_ws("/", "source", "lang") if repo is None else repo, F.col("source") if owner is None else owner), "secret-candidates")
     each = base.select("row", "repo", "owner", F.explode("base").alias("s")).withColumn("hash", F.unhex(F.md5("s.value")))
@@ -74,8 +95,10 @@ def scan(docs: DataFrame, *, repo: Column | None = None, owner: Column | None =
         .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.first("value").alias("value"))
     )
     varied = F.size(F.array_distinct(F.split("value", ""))) >= 8
-    verdict = F.when(F.col("owners") >= wide_owners, len(KINDS) + 1).when((F.col("owners") == 1) & varied & ~F.col("value").rlike(PLACEHOLDER), len(KINDS))
-    judged = each.join(spread.select("hash", verdict.alias("rank")).filter("rank is not null"), "hash")
+    rank = {name: F.lit(len(KINDS) + i) for i, name in enumerate(ADDED)}
+    wide = (F.col("owners") >= wide_owners) | (F.col("repos") >= wide_repos)
+    verdict = F.when(wide, rank["copied"]).when(F.col("owners") > 1, rank["shared"]).when(varied & ~F.col("value").rlike(PLACEHOLDER), rank["live"]).otherwise(rank["dummy"])
+    judged = each.join(spread.select("hash", verdict.alias("rank")), "hash")
     start = F.when(F.col("s.rank") == 0, F.col("s.end") - F.length("s.value")).otherwise(F.col("s.start"))
     span = F.struct(start.alias("start"), F.col("rank"), F.col("s.end").alias("end"), F.lit("").alias("value"))
     added = judged.groupBy("row").agg(F.collect_set(span).alias("added"))
@@ -87,8 +110,7 @@ def scan(docs: DataFrame, *, repo: Column | None = None, owner: Column | None =
         *[count(i, F.col("base")).alias(f"n_{k}") for i, k in enumerate(kinds)],
         F.sha2(_text_of(F.col("base"), kinds), 256).alias("base_sha256"),
         _text_of(F.array_sort(F.concat("base", "added")), kinds + ADDED).alias("spans"),
-        count(len(KINDS), F.col("added")).alias("n_live"),
-        count(len(KINDS) + 1, F.col("added")).alias("n_copied"),
+        *[count(len(KINDS) + i, F.col("added")).alias(f"n_{k}") for i, k in enumerate(ADDED)],
     )
 
 
@@ -111,22 +133,24 @@ WHERE length(v[r.i]) >= {least}"""
 OP1_SQL = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({" UNION ALL ".join(map(_sql_kind, range(len(KINDS))))}),
-owned AS (SELECT b.*, d.source FROM base b JOIN documents d USING (doc_id)),
-spread AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners FROM owned GROUP BY value),
+owned AS (SELECT b.*, d.source, d.lang FROM base b JOIN documents d USING (doc_id)),
+spread AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || chr(2) || concat_ws('/', source, lang)) AS repos FROM owned GROUP BY value),
+verdicts AS (
+  SELECT value, CASE WHEN owners >= {WIDE_OWNERS} OR repos >= {WIDE_REPOS} THEN 'copied' WHEN owners > 1 THEN 'shared'
+         WHEN len(list_distinct(string_split(value, ''))) >= 8 AND NOT regexp_matches(value, '{PLACEHOLDER}') THEN 'live' ELSE 'dummy' END AS verdict FROM spread
+),
 judged AS (
-  SELECT b.doc_id, CASE WHEN rank = 0 THEN stop - length(value) ELSE start END AS start, stop, CASE WHEN owners >= {WIDE_OWNERS} THEN 4 ELSE 3 END AS rank, CASE WHEN owners >= {WIDE_OWNERS} THEN 'copied' ELSE 'live' END AS kind
-  FROM base b JOIN spread USING (value)
-  WHERE owners >= {WIDE_OWNERS} OR (owners = 1 AND len(list_distinct(string_split(value, ''))) >= 8 AND NOT regexp_matches(value, '{PLACEHOLDER}'))
+  SELECT b.doc_id, CASE WHEN rank = 0 THEN stop - length(value) ELSE start END AS start, stop, 2 + list_position({list(ADDED)}, verdict) AS rank, verdict AS kind FROM base b JOIN verdicts USING (value)
 ),
 added AS (SELECT DISTINCT * FROM judged),
 every AS (SELECT doc_id, start, rank, stop, kind FROM base UNION ALL SELECT doc_id, start, rank, stop, kind FROM added),
 per AS (
-  SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (rank = 3) AS n_live, count(*) FILTER (rank = 4) AS n_copied,
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, {", ".join(f"count(*) FILTER (rank = {3 + i}) AS n_{k}" for i, k in enumerate(ADDED))},
          string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base,
          string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank, stop) AS spans
   FROM every GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       coalesce(spans, '') AS spans, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ADDED)}
 FROM docs d LEFT JOIN per USING (doc_id)
 """

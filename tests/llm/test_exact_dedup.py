@@ -26,10 +26,24 @@ def test_groups(spark, keep, best, content_hash):
     assert sorted(map(tuple, got.collect())) == brute([(r["doc_id"], r["text"]) for r in docs.collect()], best)
 
 
+def test_columns_of_any_name_stay(spark):
+    docs = documents(spark, ["a", "a", "b", "b"], ids=[1, 2, 3, 3], extra=("id int, hash string, `row` string, keep_id string, group_size string, n_kept string, __row string", (5, "h", "r", "k", "g", "n", "mine")))
+    kept = ed.exact_dedup(docs, keep="largest")
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(2, "a", "en", "src0", 1, 5, "h", "r", "k", "g", "n", "mine"), (3, "b", "en", "src0", 1, 5, "h", "r", "k", "g", "n", "mine")]
+
+
+def test_texts_move_only_for_groups(spark):
+    """Hashes alone are grouped; the whole texts are in no exchange but that of the comparison."""
+    docs = documents(spark, TEXTS)
+    plan = ed.exact_groups(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
+
+
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_dedup_rows(spark, limit):
     docs = documents(spark, ["a", "a", "b", "b", None, "", "q", "other"], ids=[1, 2, 3, 3, 5, None, 7, 7])
-    kept = ed.exact_dedup(docs, keep="largest", broadcast_limit=limit)
+    kept = ed.exact_dedup(docs, keep="largest", broadcast_bytes=limit)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(2, "a"), (3, "b"), (5, ""), (7, "other"), (7, "q")]
 

@@ -85,12 +85,12 @@ def test_round_trip(spark):
     assert media.store_texts(docs.limit(0)).collect() == [] and media.as_pages(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("limit", [0, 10**6])
 def test_query_reads_a_written_store(spark, tmp_path, monkeypatch, limit):
     """The store is a table of files with each payload once, and the query's features come from it."""
     texts = ["a", None, "b", "a", "", "c", "a", "b"]
     documents(spark, texts).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    monkeypatch.setattr(common, "BROADCAST_LIMIT", limit)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     found = media.op7_media(spark, str(tmp_path))
     files = [f for f in found.inputFiles() if "media-store" in f]
     store = spark.read.parquet(*files).collect()

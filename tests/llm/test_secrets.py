@@ -1,8 +1,10 @@
 import hashlib
 import re
+import time
 
 import pytest
 from helpers import documents
+from pyspark.sql import functions as F
 
 from rosterloom.llm import secrets
 
@@ -40,13 +42,36 @@ def test_base_spans(spark):
 
 
 def test_ownership(spark):
-    """Values of many owners are copied examples; those of one owner are live unless they look like placeholders."""
+    """Each value has one verdict: copied with many owners, shared with two, live with one unless it looks like a placeholder."""
     own, wide, two, fake = "Zk39fjQ0aXw2", "Copied0Value9x", "Pair1Value2abc", "your-example-key1"
     texts = [f"token={own} token={own}", *[f"secret={wide}"] * 4, f"password={two}", f"password={two}", f"api_key={fake}", f"token={own}"]
     docs = documents(spark, texts, sources=["s0", "s1", "s2", "s3", "s1", "s4", "s5", "s6", "s0"])
-    got = [(r["n_live"], r["n_copied"], r["spans"]) for r in secrets.scan(docs).orderBy("doc_id").collect()]
-    assert [g[:2] for g in got] == [(2, 0), (0, 1), (0, 1), (0, 1), (0, 1), (0, 0), (0, 0), (0, 0), (1, 0)]
-    assert got[0][2] == "assign:0:18,live:6:18,assign:19:37,live:25:37" and got[1][2] == "assign:0:21,copied:7:21"
+    got = [(r["n_live"], r["n_copied"], r["n_shared"], r["n_dummy"], r["spans"]) for r in secrets.scan(docs).orderBy("doc_id").collect()]
+    assert [g[:4] for g in got] == [(2, 0, 0, 0), *[(0, 1, 0, 0)] * 4, (0, 0, 1, 0), (0, 0, 1, 0), (0, 0, 0, 1), (1, 0, 0, 0)]
+    assert got[0][4] == "assign:0:18,live:6:18,assign:19:37,live:25:37" and got[1][4] == "assign:0:21,copied:7:21"
+    assert got[5][4] == "assign:0:23,shared:9:23" and got[7][4] == "assign:0:25,dummy:8:25"
+
+
+def test_repositories_count(spark):
+    """A value in many repositories of a single owner is a copied example too."""
+    docs = documents(spark, ["token=Zk39fjQ0aXw2"] * 9, sources=["s0"] * 9)
+    lang = F.concat(F.lit("l"), (F.col("doc_id") % 4).cast("string"))
+    few = docs.withColumn("lang", F.when(F.col("doc_id") % 4 == 3, "l0").otherwise(lang))
+    assert {(r["n_live"], r["n_copied"]) for r in secrets.scan(docs.withColumn("lang", lang)).collect()} == {(0, 1)}
+    assert {(r["n_live"], r["n_copied"]) for r in secrets.scan(few).collect()} == {(1, 0)}
+    assert {(r["n_live"], r["n_copied"]) for r in secrets.scan(few, wide_repos=3).collect()} == {(0, 1)}
+
+
+def test_time_grows_with_the_text(spark):
+    """100,000 matches in one text of some 4 MB, and chunk borders."""
+    assert [r["n_assign"] for r in secrets.scan(documents(spark, ["token=abc123def " * n for n in (255, 256, 257, 512, 513)])).orderBy("doc_id").collect()] == [255, 256, 257, 512, 513]
+    unit = "é password=abcdef12 lorem ipsum dolor sit "
+    began = time.monotonic()
+    r = secrets.scan(documents(spark, [unit * 100_000])).first()
+    assert time.monotonic() - began < 60
+    assert r["n_assign"] == 100_000
+    want = ",".join(f"assign:{len(unit) * i + 2}:{len(unit) * i + 19}" for i in range(100_000))
+    assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
 
 
 def test_tables_without_rows_or_with_repeated_ones(spark):
