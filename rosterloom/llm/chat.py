@@ -36,7 +36,6 @@ Turn = tuple[str, str]
 OPEN, CLOSE = "<s>[INST] ", " [/INST]</s>\n"
 _CONTROL = re.compile(r"\\|(?=</?s>|\[/?INST\])")
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"<s>\[INST\] (.*?)\n(.*?) \[/INST\]</s>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -204,4 +203,4 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, :said AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)", {"said": said})
     rows = common.read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return read_back(format_conversations(rows.unionByName(probe)))
+    return read_back(format_conversations(rows.unionByName(probe))).drop("n_segments")

@@ -6,11 +6,11 @@ sequence crosses documents; ``bucket`` (the exponent) tells which pieces have eq
 
 The tokenizer lower-cases and drops white space, so a text's ids are those of its white-space chunks in turn. Chunks
 repeat, so each Python worker keeps the ids of the pieces it has seen as bytes; only unseen letter runs reach the
-tokenizer, many at a time. When a cache reaches ``CACHE`` entries, the half
-met last goes, so memory stays bounded.
+tokenizer, many at a time. When a cache reaches ``CACHE`` entries, the half met last goes, and what is longer than ``LONG``
+characters isn't cached, so memory stays bounded whatever chunks are made of.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1; repeated rows are packed each; an empty
-table gives an empty result. sequence_id numbers the pieces as the scan meets them, the same whenever a task is rerun.
+table gives an empty result; other columns, of whatever name, are ignored. sequence_id numbers the pieces as the scan meets them, the same whenever a task is rerun.
 """
 
 from __future__ import annotations
@@ -28,9 +28,13 @@ from pyspark.sql import functions as F
 from rosterloom.llm import common
 
 CACHE = 300_000
+#: Characters of a chunk that is cached at most; longer ones (base64, addresses) hardly repeat.
+LONG = 64
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
 #: The tokenizer's own split: a piece never crosses from one of these to the next.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Marks that are a piece of their own behind letters.
+_STOPS = frozenset(".,;:!?")
 #: What a text may hold that its chunks, looked up one by one, would not show; such texts go to the tokenizer whole.
 _WHOLE = ("<|startoftext|>", "<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 #: Beyond these letters, case and composition depend on more than one letter; such chunks go to the tokenizer as they are.
@@ -64,55 +68,56 @@ class ChunkEncoder:
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, unseen: list[str]) -> None:
-        """Fill both caches for chunks that are not there."""
-        split, new = {}, set()
+    def learn(self, unseen: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not in the cache; all but the long ones go into it."""
+        out, split, new = {}, {}, set()
         for c in unseen:
             if not c.isascii() and _FURTHER.search(c):
-                self.chunks[c] = self.plain(c)
+                out[c] = self.plain(c)
             else:
-                split[c] = _PIECES.findall(c)
-                new.update(split[c])
+                split[c] = p = [c] if c.isalpha() else [c[:-1], c[-1]] if c[-1] in _STOPS and c[:-1].isalpha() else _PIECES.findall(c)
+                new.update(p)
         if len(self.pieces) + len(new) > CACHE:
             _thin(self.pieces)
-        listed = [p for p in new if p not in self.pieces]
+        pieces = self.pieces
+        listed = [p for p in new if p not in pieces]
+        long: dict[str, bytes] = {}
         for at in range(0, len(listed), 2000):
             some = listed[at : at + 2000]
             ids = np.array(self.bare.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             data = ids.tobytes()
             if stops and len(stops) == len(some) and stops[-1] == len(data):
-                self.pieces.update(zip(some, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+                made = zip(some, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True)
             else:
-                self.pieces.update((p, self.plain(p)) for p in some)
-        pieces = self.pieces
-        self.chunks.update((c, pieces[p[0]] if len(p) == 1 else b"".join([pieces[x] for x in p])) for c, p in split.items())
+                made = ((p, self.plain(p)) for p in some)
+            for p, v in made:
+                (pieces if len(p) <= LONG else long)[p] = v
+        find = (lambda p: pieces[p] if len(p) <= LONG else long[p]) if long else pieces.__getitem__
+        out.update((c, find(p[0]) if len(p) == 1 else b"".join(map(find, p))) for c, p in split.items())
+        self.chunks.update((c, v) for c, v in out.items() if len(c) <= LONG)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        waiting: list[tuple[int, list[str]]] = []
-        unseen: dict[str, None] = {}
-        get = self.chunks.__getitem__
+        split: list[tuple[int, list[str]]] = []
         for i, text in enumerate(texts):
             if any(s in text for s in _WHOLE):
                 out[i] = self.plain(text)
-                continue
-            if text.isascii() or not _FURTHER.search(text):
-                words = text.lower().split()
+            elif text.isascii() or not _FURTHER.search(text):
+                split.append((i, text.lower().split()))
+            else:
+                split.append((i, [w if _FURTHER.search(w) else w.lower() for w in text.split()]))
+        needed = set().union(*(words for _, words in split))
+        if len(self.chunks) + len(needed) > CACHE:
+            _thin(self.chunks)
+        new = self.learn(needed.difference(self.chunks))
+        long = {c for c in new if len(c) > LONG}
+        get = self.chunks.__getitem__
+        for i, words in split:
+            if long and not long.isdisjoint(words):
+                out[i] = b"".join([new[w] if w in long else get(w) for w in words])
             else:
-                words = [w if _FURTHER.search(w) else w.lower() for w in text.split()]
-            try:
-                out[i] = b"".join(map(get, words))
-            except KeyError:
-                waiting.append((i, words))
-                unseen.update(dict.fromkeys(words))
-        if waiting:
-            missing = [w for w in unseen if w not in self.chunks]
-            if len(self.chunks) + len(missing) > CACHE:
-                _thin(self.chunks)
-                missing = [w for w in unseen if w not in self.chunks]
-            self.learn(missing)
-            for i, words in waiting:
                 out[i] = b"".join(map(get, words))
         return out
 

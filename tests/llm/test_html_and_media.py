@@ -41,6 +41,66 @@ def test_regions_keep_all_their_lines():
         assert html_text.main_text(page) == "\n\n".join(want), page
 
 
+def test_names_are_weights_and_states_mean_nothing():
+    words = lambda n: " ".join(["word"] * n)
+    a, b = words(80), words(60)
+    pages = [
+        (f'<div class="content no-sidebar"><p>{a}</p><p>{b}</p></div>', [a, b]),
+        (f'<div class="post comments-open has-sidebar"><p>{a}</p></div>', [a]),
+        (f'<article><div class="entry-header"><h1>Title</h1></div><p>{a}</p></article>', ["Title", a]),
+        (f'<article><p>{a}</p><div class="social history"><p>{b}</p></div><p>End.</p></article>', [a, b, "End."]),
+        (f'<article><p>{a}</p><div class="social"><a href=x>Share this</a> <a href=y>Tell all</a></div><p>End.</p></article>', [a, "End."]),
+        (f'<article><p>{a}</p><div class="ad-slot">{b}</div><div class=promo>{b}</div><div class=newsletter>{b}</div><p>End.</p></article>', [a, "End."]),
+        (f'<div><p>{a}</p></div><div class="related">{words(20)}</div><div class="comment-list"><p>{b}</p></div>', [a]),
+        (f'<div class="masthead">The Paper of Record</div><div><div><h1>T</h1><p>{a}</p></div></div>', ["T", a]),
+        ('<p title="Bob"s">text here</p>', ["text here"]),
+        (f"<p>a < b & c <3 d</p><p>{a}</p>", ["a < b & c <3 d", a]),
+    ]
+    for page, want in pages:
+        assert html_text.main_text(page) == "\n\n".join(want), page
+
+
+def test_surge_and_dive_bound_the_text():
+    """What is kept depends on the window and the threshold, not on the containers alone."""
+    long, short = " ".join(["word"] * 60), "A short remark."
+    page = f"<div><p>{long}</p></div><nav>m</nav><nav>n</nav><div><p>{short}</p></div>"
+    assert html_text.main_text(page) == f"{long}\n\n{short}"
+    assert html_text.main_text(page, window=1) == long and html_text.main_text(page, window=2) == long
+    assert html_text.main_text(page, window=1, threshold=10) == f"{long}\n\n{short}"
+    far = f"<div><div><div><div><p>{short}</p></div></div></div></div><div><div><div><div><p>{long}</p></div></div></div></div>"
+    assert html_text.main_text(far) == long and html_text.main_text(far, window=9) == f"{short}\n\n{long}"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "<div>x", "< ", '<a b="', "<a b='x", "<p>x</div>", "<nav>x", "<article><nav>", "<div class=social>x", "<x", "</", "<!--", "&#x", "<a x=1 "])
+def test_odd_pages_take_time_in_proportion(unit):
+    import time
+
+    page = unit * (1_000_000 // len(unit))
+    began = time.monotonic()
+    html_text.main_text(page)
+    assert time.monotonic() - began < 30
+
+
+def test_varied_pages():
+    """Pages built from known parts; what must come out is known from the building, not from another reading of the page."""
+    import random
+
+    rnd = random.Random(11)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n)).capitalize() + "."
+    for _ in range(300):
+        blocks = [("h1", prose(5)), *[(rnd.choice(["p", "p", "h2", "blockquote", "li"]), prose(rnd.choice([1, 4, 25, 60]))) for _ in range(rnd.randint(2, 9))]]
+        blocks.insert(2, ("p", prose(50)))
+        noise = ['<div class="ad">Buy now</div>', "<script>if(a<b){x='<p>no</p>'}</script>", "<!-- <p>hidden</p> -->", '<aside><p>' + prose(30) + "</p></aside>", "<form><input><button>Go</button></form>", "<figure></figure>"]
+        body = "".join(f"<{t}{rnd.choice(['', ' class=x', ' id=\"a b\"'])}>{x.replace(' ', rnd.choice([' ', '  ', chr(10), '<br>', ' <b> ']), 1).replace('<b>', '<b></b>')}</{t}>" + (rnd.choice(noise) if rnd.random() < 0.25 else "") for t, x in blocks)
+        tag = rnd.choice(["article", "main", "div", 'div class="post"', 'section id="content"'])
+        name = tag.split()[0]
+        top = rnd.choice(["", "<header><a href=/>Site</a></header>", '<div class="site-header">The Site</div>']) + "<nav><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></nav>" + rnd.choice(["", '<div id="cookie-consent">' + prose(30) + "</div>"])
+        foot = rnd.choice(["", '<div class="comments"><p>' + prose(40) + "</p></div>", '<section id="comments"><div><p>' + prose(60) + "</p></div></section>"]) + "<footer>&copy; me</footer>"
+        page = f"<html><head><title>t</title></head><body class='has-sidebar'>{top}<{tag}>{body}</{name}>{foot}</body></html>"
+        assert html_text.main_text(page).split("\n\n") == [x for _, x in blocks], page
+
+
 def test_pages_of_the_table(spark, sf_dir):
     """Brute force: the pages' articles hold headings and paragraphs and nothing else."""
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()

@@ -31,6 +31,13 @@ def test_cached_ids_equal_the_tokenizers(monkeypatch):
     assert [small.encode([t])[0] for t in texts[:400]] == want[:400]
 
 
+def test_long_chunks_are_not_cached():
+    texts = ["x" * 100_000 + " short", "y1" * 5000 + "., " + "z" * 65, "short " + "z" * 65, "É" * 70 + "'s"]
+    coder = packing.ChunkEncoder(PATH)
+    assert coder.encode(texts) == [plain(t) for t in texts] == [coder.encode([t])[0] for t in texts]
+    assert max(map(len, (*coder.chunks, *coder.pieces))) <= packing.LONG
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4095, 4096, 4097, 12_345])
 def test_pieces(n):
     p = packing.power_pieces(n, 4096)
