@@ -44,36 +44,49 @@ def _held(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.explode(made).alias("held")).select(*rows.columns, "held.*")
 
 
-def _spans(rows: DataFrame, name: str, pattern: str, group: int, least: int, rank: int) -> DataFrame:
-    """``rows`` with the column ``name``: array<struct<start, rank, end, value>> of a pattern's matches whose group is long enough."""
-    text, quoted, kept = F.col("text"), F.lit(pattern), rows.columns
-    rows = _held(rows, whole=F.regexp_extract_all(text, quoted, F.lit(0)), inner=F.regexp_extract_all(text, quoted, F.lit(group)), between=F.split(text, pattern, -1))
-    step = F.transform("whole", lambda m, i: F.struct(F.length(F.get("between", i)).alias("gap"), F.length(m).alias("size"), F.get("inner", i).alias("value")))
-    rows = _held(rows, step=step).drop("whole", "inner", "between")
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("step") - 1) / CHUNK).cast("int")), lambda c: F.slice("step", c * CHUNK + 1, CHUNK))
-    rows = _held(rows, chunks=F.when(F.size("step") > 0, chunks).otherwise(F.array().cast("array<array<struct<gap:int,size:int,value:string>>>"))).drop("step")
-    sums = F.transform("chunks", lambda c: F.aggregate(c, F.lit(0), lambda at, m: at + m["gap"] + m["size"]))
-    rows = _held(rows, sums=sums)
-    starts = F.aggregate("sums", F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
-    rows = _held(rows, starts=starts).drop("sums")
+def _spans(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column for each kind instead of ``text``: array<struct<start, rank, end, value>> of the matches whose group is long enough."""
+    kept = [c for c in rows.columns if c != "text"]
+    names = [k for k, *_ in KINDS]
+    matches = {}
+    for kind, pattern, group, _ in KINDS:
+        matches |= {f"whole_{kind}": F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), f"between_{kind}": F.split("text", pattern, -1)}
+        matches |= {f"inner_{kind}": F.regexp_extract_all("text", F.lit(pattern), F.lit(group))} if group else {}
+    rows = _held(rows, **matches).drop("text")
+
+    def steps(kind: str, group: int) -> Column:
+        value = lambda m, i: F.get(f"inner_{kind}", i) if group else m
+        return F.transform(f"whole_{kind}", lambda m, i: F.struct(F.length(F.get(f"between_{kind}", i)).alias("gap"), F.length(m).alias("size"), value(m, i).alias("value")))
+
+    rows = _held(rows, **{f"step_{k}": steps(k, group) for k, _, group, _ in KINDS}).select(*kept, *[f"step_{k}" for k in names])
+
+    def chunks(step: str) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(step) - 1) / CHUNK).cast("int")), lambda c: F.slice(step, c * CHUNK + 1, CHUNK))
+        return F.when(F.size(step) > 0, cut).otherwise(F.array().cast("array<array<struct<gap:int,size:int,value:string>>>"))
+
+    rows = _held(rows, **{f"chunks_{k}": chunks(f"step_{k}") for k in names}).drop(*[f"step_{k}" for k in names])
+    sums = lambda of: F.transform(of, lambda c: F.aggregate(c, F.lit(0), lambda at, m: at + m["gap"] + m["size"]))
+    rows = _held(rows, **{f"sums_{k}": sums(f"chunks_{k}") for k in names})
+    running = lambda of: F.aggregate(of, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    rows = _held(rows, **{f"starts_{k}": running(f"sums_{k}") for k in names}).drop(*[f"sums_{k}" for k in names])
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
 
-    def add(state: Column, m: Column) -> Column:
-        start = state["at"] + m["gap"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + m["size"]).alias("end"), m["value"].alias("value"))
-        return F.struct((start + m["size"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def found(kind: str, rank: int, least: int) -> Column:
+        def add(state: Column, m: Column) -> Column:
+            start = state["at"] + m["gap"]
+            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + m["size"]).alias("end"), m["value"].alias("value"))
+            return F.struct((start + m["size"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    of_chunk = lambda c, i: F.aggregate(c, F.struct(F.get("starts", i).alias("at"), empty.alias("out")), add, lambda s: s["out"])
-    found = F.filter(F.flatten(F.transform("chunks", of_chunk)), lambda s: F.length(s["value"]) >= least)
-    return _held(rows, **{name: found}).select(*kept, name)
+        of_chunk = lambda c, i: F.aggregate(c, F.struct(F.get(f"starts_{kind}", i).alias("at"), empty.alias("out")), add, lambda s: s["out"])
+        return F.filter(F.flatten(F.transform(f"chunks_{kind}", of_chunk)), lambda s: F.length(s["value"]) >= least)
+
+    return rows.select(*kept, *[found(k, i, least).alias(k) for i, (k, _, _, least) in enumerate(KINDS)])
 
 
 def candidates(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     """row, doc_id, repo, owner, base: the candidate spans of each row in order of start, then kind."""
     rows = docs.select("doc_id", repo.alias("repo"), owner.alias("owner"), common.text_or_empty().alias("text"))
-    for i, (kind, pattern, group, least) in enumerate(KINDS):
-        rows = _spans(rows, kind, pattern, group, least, i)
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", F.array_sort(F.concat(*[k for k, *_ in KINDS])).alias("base"))
+    return _spans(rows).select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", F.array_sort(F.concat(*[k for k, *_ in KINDS])).alias("base"))
 
 
 def _text_of(spans: Column, kinds: tuple[str, ...]) -> Column:
