@@ -229,18 +229,23 @@ def _count_features(rows: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 500):
-                counts = (Counter(), Counter())
+                counts = {(near, y): Counter() for near in (False, True) for y in (False, True)}
+                known: dict[str, list[str]] = {}  # beginnings of the words of these texts
                 part = frame.iloc[at : at + 500]
-                for text, y in zip(part["text"], part["label"], strict=True):
-                    low, near, every = lowered(text), set(), set()
-                    for clause in _CLAUSE_END.split(low):
+                for text, y in zip(part["text"], part["label"] > 0, strict=True):
+                    near, every = set(), set()
+                    for clause in _CLAUSE_END.split(lowered(text)):
                         words = _WORD.findall(clause)
                         every.update(words)
                         if not TARGETS.isdisjoint(words):
                             near |= _near_target(words)
-                    counts[int(y > 0)].update({(False, k) for w in every for k in _beginnings(w)} | {(True, k) for w in near for k in _beginnings(w)})
-                keys = list(counts[0] | counts[1])
-                yield pd.DataFrame({"near": [k[0] for k in keys], "feature": [k[1] for k in keys], "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]})
+                    known.update((w, _beginnings(w)) for w in every if w not in known)
+                    for is_near, found in ((False, every), (True, near)):
+                        counts[is_near, bool(y)].update(set().union(*map(known.__getitem__, found)))
+                for is_near in (False, True):
+                    clean, toxic = counts[is_near, False], counts[is_near, True]
+                    if keys := list(clean | toxic):
+                        yield pd.DataFrame({"near": [is_near] * len(keys), "feature": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]})
 
     return rows.select("text", "label").mapInPandas(run, "near boolean, feature string, toxic long, clean long").groupBy("near", "feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -263,10 +268,15 @@ def _learn_arcs(texts: list[tuple[list[list[float]], int, float]]) -> tuple[Arcs
     texts: for each the sums by path class of its clauses, its length and its label.
     """
     y = np.array([t[2] for t in texts])
+    lengths = np.array([max(1, n) for _, n, _ in texts])
+    of_text = np.array([i for i, (c, _, _) in enumerate(texts) for _ in c], int)
+    sums = np.array([v for c, _, _ in texts for v in c]).reshape(-1, 16)
 
     def tried(arcs: Arcs) -> tuple[float, np.ndarray, float]:
-        gains = np.array(arcs.gains())
-        x = np.array([_features((np.array(c) @ gains).tolist() if c else [], n) for c, n, _ in texts])
+        scores, largest = sums @ np.array(arcs.gains()), np.zeros(len(y))
+        np.maximum.at(largest, of_text, scores)
+        total = np.bincount(of_text, scores, len(y))
+        x = np.log1p(np.stack([largest, total, np.bincount(of_text, scores > 0, len(y)), 1000 * total / lengths], axis=1))  # _features()
         w, bias = _logistic(x, y)
         z = np.clip(x @ w + bias, -30, 30)
         return float((np.log1p(np.exp(z)) - y * z).sum() + 0.5 * (w * w).sum()), w, bias

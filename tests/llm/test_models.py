@@ -164,6 +164,12 @@ def test_learned_lexicon_is_used(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(242) if i >= 240 or i % 3]
 
 
+def test_texts_without_words_train_too(spark):
+    docs, labels = labelled(spark, ["1 2 3", "", None, "..."] * 20, [i % 2 for i in range(80)])
+    model = toxicity.fit(docs, labels)
+    assert not model.lexicon and len({r["score"] for r in toxicity.score(docs, model).collect()}) == 1
+
+
 @pytest.mark.parametrize("marks", [[], [1] * 40, [0] * 40])
 def test_one_class_or_none(spark, marks):
     docs, labels = labelled(spark, [f"text {i}" for i in range(40)] + [None], marks)
