@@ -15,7 +15,7 @@ from rosterloom.functions import tokens as tk
 from rosterloom.functions import vocab
 from rosterloom.functions.nicknames import SEED, NicknameDictionary, nickname_token
 from rosterloom.functions.parse import strip_name_noise
-from rosterloom.functions.text import col, compact_name_key, has_name_information, name_key, nm_key, normalize_string, quoted
+from rosterloom.functions.text import col, compact_name_key, has_name_information, let, name_key, nm_key, normalize_string, quoted
 
 CORROBORATES, CONFLICTS, UNINFORMATIVE = "corroborates", "conflicts", "uninformative"
 
@@ -51,8 +51,9 @@ def surname_match_type_of(ka: Column, kb: Column, xa: Column, xb: Column) -> Col
 
 def name_surname_match_type(a: Column | str, b: Column | str) -> Column:
     """exact, separator_equivalent, concatenated_equivalent, component_subset or none."""
-    ka, kb = nm_key(a), nm_key(b)
-    return surname_match_type_of(ka, kb, tk.components_of_key(ka), tk.components_of_key(kb))
+    keys = F.struct(nm_key(a).alias("a"), nm_key(b).alias("b"))
+    parts = lambda k: F.struct(tk.components_of_key(k["a"]).alias("a"), tk.components_of_key(k["b"]).alias("b"))
+    return let(keys, lambda k: let(parts(k), lambda x: surname_match_type_of(k["a"], k["b"], x["a"], x["b"])))
 
 
 def names_have_compatible_surname(a: Column | str, b: Column | str) -> Column:
@@ -73,19 +74,23 @@ def _alternate_forms(alternates: Column | None) -> Column:
 
 def surname_agreement(a, b, middle_a=None, middle_b=None, alternates_a=None, alternates_b=None) -> Column:
     """struct(verdict, reason). alternates: array columns of recorded other surnames; middles allow the maiden-name rescue."""
-    ka, kb = _dequoted(name_key(a)), _dequoted(name_key(b))
-    ta, tb = (F.transform(tk.surname_tokens(x), _dequoted) for x in (a, b))
     middle = lambda m: F.array().cast("array<string>") if m is None else F.transform(tk.middle_tokens(m), _dequoted)
-    alt_a, alt_b = _alternate_forms(None if alternates_a is None else col(alternates_a)), _alternate_forms(None if alternates_b is None else col(alternates_b))
-    kind = name_surname_match_type(a, b)
     meets = lambda x, y: F.size(F.array_intersect(x, y)) > 0
-    reason = (
-        F.when(kind != "none", kind)
-        .when(meets(F.concat(F.array(kb), tb), alt_a) | meets(F.concat(F.array(ka), ta), alt_b), "alternate_recorded")
-        .when(meets(tb, middle(middle_a)) | meets(ta, middle(middle_b)), "maiden_as_middle")
-    )
-    known = has_name_information(ka) & has_name_information(kb)
-    return F.struct(verdict(known, reason.isNotNull()).alias("verdict"), F.when(known, reason).alias("reason"))
+    once = {"kind": name_surname_match_type(a, b)}
+    for s, name, mid, alternates in (("a", a, middle_a, alternates_a), ("b", b, middle_b, alternates_b)):
+        once |= {"key_" + s: _dequoted(name_key(name)), "tokens_" + s: F.transform(tk.surname_tokens(name), _dequoted), "middle_" + s: middle(mid)}
+        once["others_" + s] = _alternate_forms(None if alternates is None else col(alternates))
+
+    def judged(v: Column) -> Column:
+        reason = (
+            F.when(v["kind"] != "none", v["kind"])
+            .when(meets(F.concat(F.array(v["key_b"]), v["tokens_b"]), v["others_a"]) | meets(F.concat(F.array(v["key_a"]), v["tokens_a"]), v["others_b"]), "alternate_recorded")
+            .when(meets(v["tokens_b"], v["middle_a"]) | meets(v["tokens_a"], v["middle_b"]), "maiden_as_middle")
+        )
+        known = has_name_information(v["key_a"]) & has_name_information(v["key_b"])
+        return let(reason, lambda r: F.struct(verdict(known, r.isNotNull()).alias("verdict"), F.when(known, r).alias("reason")))
+
+    return let(F.struct(*[c.alias(n) for n, c in once.items()]), judged)
 
 
 # --- given and middle names -----------------------------------------------------------------------------------------
@@ -219,11 +224,15 @@ def normalize_suffix(x: Column | str) -> Column:
 def extract_suffix(x: Column | str) -> Column:
     """struct(name, suffix): suffix tokens behind the first token are taken out, the last one found counts."""
     parts = F.filter(F.split(col(x), "\\s+"), lambda t: t != "")
-    canon = F.transform(parts, lambda t, i: F.when(i > 0, normalize_suffix(F.regexp_replace(t, "[.,]", ""))))
-    kept = F.filter(parts, lambda t, i: F.get(canon, i).isNull())
-    found = F.filter(canon, lambda c: c.isNotNull())
-    name = F.trim(F.regexp_replace(F.array_join(kept, " "), "[ ,]+\\z", ""))
-    return F.struct(name.alias("name"), F.try_element_at(found, F.lit(-1)).alias("suffix"))
+
+    def taken(parts: Column, canon: Column) -> Column:
+        kept = F.filter(parts, lambda t, i: F.get(canon, i).isNull())
+        found = F.filter(canon, lambda c: c.isNotNull())
+        name = F.trim(F.regexp_replace(F.array_join(kept, " "), "[ ,]+\\z", ""))
+        return F.struct(name.alias("name"), F.try_element_at(found, F.lit(-1)).alias("suffix"))
+
+    canon = lambda parts: F.transform(parts, lambda t, i: F.when(i > 0, normalize_suffix(F.regexp_replace(t, "[.,]", ""))))
+    return let(parts, lambda p: let(canon(p), lambda c: taken(p, c)))
 
 
 def suffix_agreement(a: Column | str, b: Column | str) -> Column:

@@ -20,6 +20,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it: the optimizer doesn't put it in its place."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _one_to_one() -> tuple[str, str]:
     table = dict(vocab.SINGLE_LETTERS) | vocab.PUNCTUATION
     for point in range(0xC0, 0x180):

@@ -124,3 +124,15 @@ def clerical_precision(key: DataFrame, verdicts: DataFrame, cls: str = "evidence
     rows = [(*r, *(clopper_pearson(r["n_match"], r["n_reviewed"], level) if r["n_reviewed"] else (None, None))) for r in counts.orderBy(cls).collect()]
     schema = counts.schema.add("ci_low", "double").add("ci_high", "double")
     return counts.sparkSession.createDataFrame(rows, schema)
+
+
+def shared_keys(df: DataFrame, id: str, on: list[str]) -> DataFrame:
+    """id_a, id_b and the columns ``on``: ordered pairs of rows with other ids that share all of ``on``; a null shares nothing.
+
+    Known negatives of a matcher, as people of one household are. The result has n * (n - 1) rows for n rows of one key, so
+    ``on`` has to be selective: it is a join on the columns, never on one of them alone.
+    """
+    if missing := [c for c in (id, *on) if c not in df.columns]:
+        raise ValueError(f"df is missing: {', '.join(missing)}")
+    side = lambda name: df.select(F.col(id).alias(name), *on)
+    return side("id_a").join(side("id_b"), on).filter("id_a <> id_b").select("id_a", "id_b", *on)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterloom.functions import agreement as ag
+from rosterloom.functions import parse
 from rosterloom.functions import text as tx
 from rosterloom.functions import tokens as tk
 from rosterloom.functions import vocab
@@ -555,7 +556,20 @@ def registry_licenses_events(spark, sf):
 _SCHOOL = "concat(CASE p_size % 3 WHEN 0 THEN 'University of ' WHEN 1 THEN '' ELSE 'College ' END, p_name, CASE p_size % 4 WHEN 0 THEN ' School of Medicine' WHEN 1 THEN ', Medical College' WHEN 2 THEN '' ELSE ' University Med Sch' END)"
 
 
-@query()
+_UNIT_RULES = [  # pattern and what replaces the string, for each phrase twice: behind the unit's name, then before it
+    *[(f"nullif(regexp_extract(s, '(?i)^.+?\\s*[,-]?\\s*{p}(?:\\s*,\\s*|\\s+(?:AT|OF)\\s+(?:THE\\s+)?)(.+)$', 1), '')", "true") for p in vocab.MEDICAL_UNIT_PATTERNS],
+    *[(f"trim(regexp_replace(regexp_replace(regexp_replace(s, '(?i)^(.+?)\\s*[,-]?\\s*{p}\\b.*$', '\\1'), '(?i)[ ,\\-]+(AT|OF|THE|AND|SYSTEM|HSC)?[ ,\\-]*$', ''), '\\s+', ' ', 'g'))", "h <> s AND h <> ''") for p in vocab.MEDICAL_UNIT_PATTERNS],
+]
+
+
+def _schools_sql() -> str:
+    steps = [f"t0 AS (SELECT p_partkey, {_SCHOOL} AS school, {_SCHOOL} AS s FROM part)"]
+    for i, (h, holds) in enumerate(_UNIT_RULES):
+        steps.append(f"t{i + 1} AS (SELECT p_partkey, school, CASE WHEN {holds} AND coalesce(regexp_matches(h, '{vocab.INSTITUTION_WORD}'), false) THEN h ELSE s END AS s FROM (SELECT *, {h} AS h FROM t{i}))")
+    return f"WITH {', '.join(steps)} SELECT p_partkey, school, s AS institution FROM t{len(_UNIT_RULES)}"
+
+
+@query(_schools_sql())
 def schools_parts(spark, sf):
     p = table(spark, sf, "part").selectExpr("p_partkey", f"{_SCHOOL} AS school")
     return p.select("p_partkey", "school", strip_med_suffix("school").alias("institution"))
@@ -608,16 +622,16 @@ def _gone(x: str) -> str:
     return f"CASE WHEN length({x}) >= 3 THEN list_distinct(list_prepend({x}, list_transform(range(1, length({x}) + 1), lambda i: substr({x}, 1, i - 1) || substr({x}, i + 1)))) ELSE [] END"
 
 
-def _routes_sql() -> str:
+def _routes_sql(more: str = "") -> str:
     given, middle, surname = st.sql_name_key("given"), st.sql_name_key("middle"), st.sql_name_key("surname")
     tokens = st.sql_tokens(f"upper(coalesce({st.sql_nm_key('first')}, '') || ' ' || coalesce({st.sql_nm_key('mid')}, ''))", "[^A-Z-]+", "length(t) >= 2")
     particles = st.sql_list(vocab.NAME_SURNAME_PARTICLES)
-    rows = " UNION ALL ".join(f"SELECT id, '{n}' AS route, {a} AS k1, {b} AS k2 FROM present{extra.replace('gone(lead)', _gone('lead')).replace('gone(last_key)', _gone('last_key'))}" for n, a, b, extra in _ROUTE_KEYS)
+    rows = " UNION ALL ".join(f"SELECT id, lead, last_key, '{n}' AS route, {a} AS k1, {b} AS k2 FROM present{extra.replace('gone(lead)', _gone('lead')).replace('gone(last_key)', _gone('last_key'))}" for n, a, b, extra in _ROUTE_KEYS)
     return (
         f"WITH people AS ({PEOPLE}), k AS (SELECT id, {given} AS first, {middle} AS mid, {surname} AS last FROM people), n AS (SELECT id, {st.sql_nm_key('last')} AS last_key, {st.sql_leading(st.sql_nm_key('first'))} AS lead, "
         f"list_filter({tokens}, lambda x, i: list_position({tokens}, x) = i) AS tokens FROM k), c AS (SELECT *, {st.sql_components('last_key')} AS raw FROM n), c2 AS (SELECT * EXCLUDE raw, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS components FROM c), "
         f"present AS (SELECT *, list_distinct(list_prepend(array_to_string(components, ''), list_filter(components, lambda x: NOT list_contains({particles}, x)))) AS family FROM c2 WHERE lead IS NOT NULL AND len(components) > 0) "
-        f"SELECT DISTINCT id, route, k1, k2 FROM ({rows}) WHERE k1 <> '' AND k2 <> ''"
+        f"SELECT DISTINCT id, route, k1, k2{more} FROM ({rows}) WHERE k1 <> '' AND k2 <> ''"
     )
 
 
@@ -629,6 +643,225 @@ def seven_routes_people(spark, sf):
     routes = bk.seven_routes(F.col("lead"), F.col("last_key"), F.col("tokens"), F.col("components"), F.col("roots"))
     return named.filter("present").select(F.col("key").alias("id"), F.explode(routes).alias("e")).select("id", "e.*").distinct()
 
+_DERIVED_ID = _with_check_digit("'1' || lpad(id::VARCHAR, 8, '0')")
+_HELD = "CASE WHEN a.route IN ('nickname_surname', 'fuzzy_given_surname') THEN a.lead <> b.lead WHEN a.route = 'fuzzy_surname_given' THEN a.last_key <> b.last_key ELSE true END"
+
+
+@query(
+    f"WITH r AS ({_routes_sql(', lead, last_key')}), ids AS (SELECT p_partkey AS id, {_DERIVED_ID} AS npi FROM (SELECT p_partkey, p_partkey AS id FROM part WHERE p_partkey % 50 <> 0)) "
+    f"SELECT DISTINCT a.id AS source_id, npi, a.route AS block_route FROM r a JOIN r b ON a.route = b.route AND a.k1 = b.k1 AND a.k2 = b.k2 JOIN ids ON ids.id = b.id WHERE {_HELD}"
+)
+def candidates_people(spark, sf):
+    """All people against all people as a registry with derived ids, of which each fiftieth is an organisation."""
+    from rosterloom.operators import candidates as cd
+
+    names = cd.NameColumns(given="given", middle="middle", surname="surname")
+    p = people(spark, sf)
+    registry = p.withColumns({"npi": derived_npi(F.col("id")), "type": F.when(F.col("id") % 50 == 0, "2").otherwise("1")})
+    found = cd.generate_candidates(cd.with_names(p, F.col("id"), names), cd.registry_names(registry, "npi", "type", names))
+    return found.select("source_id", "npi", "block_route")
+
+
+# --- raw names, organisations, licences ----------------------------------------------------------------------------------------
+
+#: Names as typed: given name first with degrees, surname first with a comma, or a title in front and a colliding degree behind.
+_RAW = (
+    "CASE id % 4 WHEN 0 THEN concat(concat_ws(' ', given, middle, surname, suffix), CASE WHEN credential IS NULL THEN '' ELSE concat(', ', credential) END) "
+    "WHEN 1 THEN concat(concat_ws(' ', surname, suffix), ', ', concat_ws(' ', given, middle)) WHEN 2 THEN concat_ws(' ', 'Dr.', given, surname, CASE WHEN id % 3 = 0 THEN 'Ma' ELSE 'MA' END) "
+    "ELSE concat_ws('  ', surname, suffix, given, 'Do') END"
+)
+_ORG = "concat_ws(' ', CASE WHEN id % 3 = 0 THEN 'The' END, surname, CASE id % 5 WHEN 0 THEN given WHEN 1 THEN 'Medical Group, LLC' WHEN 2 THEN '& Associates P.A.' ELSE 'M.D.' END)"
+
+
+def raw_names(spark, sf):
+    return people(spark, sf).selectExpr("id", f"{_RAW} AS raw", f"{_ORG} AS org")
+
+
+_RAWS = f"raws AS (SELECT id, {_RAW} AS raw, {_ORG} AS org FROM people)"
+_WORDS = lambda x: f"list_filter(string_split_regex({x}, '\\s+'), lambda t: t <> '')"
+_BARE = lambda w: f"upper(replace({w}, '.', ''))"
+_SURNAME_DEGREE = lambda s: " OR ".join(f"({_BARE('w')} = '{t}' AND (len({_WORDS(s)}) = 2 OR w = '{v}'))" for t, v in vocab.SURNAME_CREDENTIAL_COLLISIONS.items())
+_NOISELESS = lambda s: f"list_filter({_WORDS(s)}, lambda w: NOT list_contains({st.sql_list(vocab.NAME_NOISE)}, {_BARE('w')}) OR {_SURNAME_DEGREE(s)})"
+_SPACED = lambda words: f"trim(regexp_replace(replace(array_to_string({words}, ' '), '.', ' '), '\\s+', ' ', 'g'))"
+_WITHOUT_NOISE = lambda x: _SPACED(f"flatten(list_transform(string_split({x}, ','), lambda s: {_NOISELESS('s')}))")
+_CANON = st.sql_case({k: v for k, v in vocab.SUFFIX_SPELLINGS.items()}, "replace(upper(trim(regexp_replace(t, '[.,]', '', 'g'))), '.', '')")
+_UNSUFFIXED = f"trim(regexp_replace(array_to_string(list_filter({_WORDS('raw')}, lambda t, i: i = 1 OR {_CANON} IS NULL), ' '), '[ ,]+$', ''))"
+_SUFFIX_OF = f"list_filter(list_transform({_WORDS('raw')}, lambda t, i: CASE WHEN i > 1 THEN {_CANON} END), lambda c: c IS NOT NULL)[-1]"
+
+
+@query(f"WITH people AS ({PEOPLE}), {_RAWS} SELECT id, {_UNSUFFIXED} AS name, {_SUFFIX_OF} AS suffix, {_WITHOUT_NOISE('raw')} AS clean FROM raws")
+def raw_names_people(spark, sf):
+    """extract_suffix and strip_name_noise."""
+    taken = ag.extract_suffix("raw")
+    return raw_names(spark, sf).select("id", taken["name"].alias("name"), taken["suffix"].alias("suffix"), parse.strip_name_noise("raw").alias("clean"))
+
+
+_OPENING = st.sql_list(sorted(set(vocab.SURNAME_PARTICLES + vocab.NAME_SURNAME_PARTICLES) - {"I", "Y", "DO", "AF", "AV", "OP"}))
+_LAST_OF_SURNAME = f"least(coalesce(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains({st.sql_list(vocab.SURNAME_PARTICLES)}, {_BARE('w[i]')}))[1], len(w)), len(w) - 1)"
+
+
+def _parse_sql() -> str:
+    part = lambda words: f"coalesce({st.sql_name_key(f'array_to_string({words}, chr(32))')}, '')"
+    moved = "array_to_string(w[1:greatest(k, 1)], ' ') || ', ' || array_to_string(w[k + 1:], ' ')"
+    return (
+        f"WITH people AS ({PEOPLE}), {_RAWS}, taken AS (SELECT id, {_UNSUFFIXED} AS name, {_SUFFIX_OF} AS suffix FROM raws), split AS (SELECT *, {_WORDS('trim(name)')} AS w FROM taken), cut AS (SELECT *, {_LAST_OF_SURNAME} AS k FROM split), "
+        f"placed AS (SELECT id, 'given_first' AS format, suffix, name FROM taken UNION ALL SELECT id, 'surname_first', suffix, CASE WHEN contains(name, ',') OR len(w) < 2 THEN name ELSE {moved} END FROM cut), "
+        f"segments AS (SELECT *, list_filter(list_transform(string_split(name, ','), lambda s: {_SPACED(_NOISELESS('s'))}), lambda s: s <> '') AS g FROM placed), "
+        f"turned AS (SELECT * EXCLUDE (g, name), array_to_string(CASE WHEN len(g) >= 2 THEN list_concat(g[2:], [g[1]]) ELSE g END, ' ') AS t FROM segments), "
+        f"worded AS (SELECT * EXCLUDE t, {_WORDS('trim(' + st.sql_strip_parenthetical('turned.t') + ')')} AS w FROM turned), counted AS (SELECT *, len(w) AS n FROM worded), "
+        f"runs AS (SELECT *, coalesce(list_max(list_filter(range(0, n), lambda i: i < n - 1 AND NOT list_contains({_OPENING}, upper(w[i + 1])))) + 1, 1) AS run FROM counted), "
+        "starts AS (SELECT *, greatest(CASE WHEN n >= 3 AND w[n] IN ('Do', 'Ma') THEN least(run, n - 2) ELSE run END, 1) AS a FROM runs) "
+        f"SELECT id, format, CASE WHEN n >= 1 THEN {part('w[1:1]')} ELSE '' END AS first, CASE WHEN n >= 3 THEN {part('w[2:a]')} ELSE '' END AS middle, CASE WHEN n >= 2 THEN {part('w[a + 1:]')} ELSE '' END AS last, coalesce(suffix, '') AS suffix FROM starts"
+    )
+
+
+@query(_parse_sql())
+def parse_person_people(spark, sf):
+    """parse_person in both formats."""
+    raws = raw_names(spark, sf)
+    rows = F.array(*[F.struct(F.lit(f).alias("format"), parse.parse_person("raw", f).alias("p")) for f in ("given_first", "surname_first")])
+    return raws.select("id", F.explode(rows).alias("r")).select("id", "r.format", "r.p.*")
+
+
+_IDENTITY = lambda x: f"list_filter(string_split(coalesce({st.sql_name_key(_WITHOUT_NOISE(x), True)}, ''), ' '), lambda v: length(v) >= 2 AND NOT list_contains({st.sql_list(vocab.ORG_NOISE)}, v))"
+
+
+@query(f"WITH people AS ({PEOPLE}), {_RAWS}, ids AS (SELECT id, {_IDENTITY('org')} AS o, {_IDENTITY('raw')} AS p FROM raws) SELECT id, {_SORTED('o')} AS tokens, CASE WHEN len(o) > 0 AND len(p) > 0 THEN list_has_any(o, p) END AS matches FROM ids")
+def org_names_people(spark, sf):
+    """identity_tokens and org_name_matches_person."""
+    return raw_names(spark, sf).select("id", F.array_join(F.array_sort(ag.identity_tokens("org")), " ").alias("tokens"), ag.org_name_matches_person("org", "raw").alias("matches"))
+
+
+_NUMBER = "concat(CASE id % 3 WHEN 0 THEN 'md-' WHEN 1 THEN '' ELSE 'A.' END, CASE WHEN id % 7 = 0 THEN '' ELSE cast(id AS VARCHAR(20)) END, CASE id % 4 WHEN 0 THEN '-9b' WHEN 1 THEN ' X' ELSE '' END)"
+
+
+@query(
+    f"WITH l AS (SELECT id, {_NUMBER} AS license FROM (SELECT p_partkey AS id FROM part)), k AS (SELECT *, nullif(upper(regexp_replace(license, '[ .\\-]', '', 'g')), '') AS key FROM l) "
+    "SELECT id, license, key, regexp_extract(key, '^[^0-9]*') AS prefix, CASE WHEN regexp_matches(key, '[0-9]') THEN regexp_extract(key, '[0-9](?:.*[0-9])?') END AS digits, "
+    "CASE WHEN regexp_matches(key, '[0-9]') THEN regexp_extract(key, '[^0-9]*$') WHEN key IS NOT NULL THEN '' END AS suffix, regexp_replace(key, '[0-9]', '#', 'g') AS shape, length(regexp_replace(key, '[^0-9]', '', 'g'))::INT AS n_digits FROM k"
+)
+def license_anatomy_parts(spark, sf):
+    return table(spark, sf, "part").selectExpr("p_partkey AS id").selectExpr("id", f"{_NUMBER} AS license").select("id", ag.license_anatomy("license").alias("a")).select("id", "a.*")
+
+
+_SPECIALTY = "CASE id % 12 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(vocab.TAXONOMY_FAMILY_PATTERNS)) + " WHEN 10 THEN 'Podiatry' END"
+_PREFIXES = "list_filter(string_split(taxonomy_a, '|'), lambda q: starts_with(c, q))"
+_BAND_VERDICT = "CASE " + " ".join(f"WHEN d BETWEEN {-9999 if lo is None else lo} AND {9999 if hi is None else hi} THEN '{v}'" for _, lo, hi, v, *_ in vocab.GRADUATION_YEAR_BANDS) + " END"
+
+
+@query(f"SELECT id, specialty, {st.sql_case(vocab.TAXONOMY_FAMILY_PATTERNS, 'specialty')} AS pattern FROM (SELECT id, {_SPECIALTY} AS specialty FROM (SELECT p_partkey AS id FROM part))")
+def taxonomy_families_parts(spark, sf):
+    return table(spark, sf, "part").selectExpr("p_partkey AS id").selectExpr("id", f"{_SPECIALTY} AS specialty").withColumn("pattern", ag.taxonomy_family_pattern("specialty"))
+
+
+@query(
+    over_pairs(
+        f"SELECT l_orderkey, l_linenumber, CASE WHEN taxonomy_a = '' OR taxonomy_b = '' THEN 'uninformative' WHEN len(list_filter({_CODES.replace('taxonomy', 'taxonomy_b')}, lambda c: len({_PREFIXES}) > 0)) > 0 THEN 'corroborates' ELSE 'conflicts' END AS taxonomy, "
+        f"{_BAND_VERDICT} AS graduation_year FROM (SELECT *, grad_year_a - grad_year_b AS d FROM pairs)"
+    )
+)
+def attribute_codes_and_years_pairs(spark, sf):
+    """The attribute verdicts that attribute_verdicts_pairs leaves out."""
+    return pairs(spark, sf).select("l_orderkey", "l_linenumber", *[ag.attribute_verdict(n, f"{c}_a", f"{c}_b").alias(n) for n, c in (("taxonomy", "taxonomy"), ("graduation_year", "grad_year"))])
+
+
+# --- names of pairs: the modes and rules that the queries above leave out ----------------------------------------------------------
+
+_TOKENS_OF = lambda s: st.sql_tokens(f"upper(coalesce({st.sql_nm_key(f'given_{s}')}, '') || ' ' || coalesce({st.sql_nm_key(f'middle_{s}')}, ''))", "[^A-Z-]+", "length(t) >= 2")
+_LEADS = lambda s: f"coalesce(list_contains(shared, l{s}), false)"
+
+
+@query(
+    over_pairs(
+        f"SELECT l_orderkey, l_linenumber, len(shared) > 0 AS any_token, CASE WHEN len(shared) > 0 THEN CASE WHEN {_LEADS('a')} AND {_LEADS('b')} THEN 'both_leading' WHEN {_LEADS('a')} OR {_LEADS('b')} THEN 'one_leading' ELSE 'neither_leading' END END AS position, "
+        "coalesce(ka <> '' AND kb <> '' AND ka = kb, false) AND len(shared) > 0 AS person FROM met",
+        f"worn AS (SELECT l_orderkey, l_linenumber, {_TOKENS_OF('a')} AS ta, {_TOKENS_OF('b')} AS tb, " + ", ".join(f"{st.sql_nm_key(f'surname_{s}')} AS k{s}, {st.sql_leading(st.sql_nm_key(f'given_{s}'))} AS l{s}" for s in "ab") + " FROM pairs)",
+        "met AS (SELECT *, list_intersect(ta, tb) AS shared FROM worn)",
+    )
+)
+def given_tokens_pairs(spark, sf):
+    """names_have_compatible_given with any_token, name_given_match_position, person_matches; tokens are made once for a person."""
+    p = people(spark, sf).select("id", tk.name_given_tokens("given", "middle").alias("t"), tx.nm_key("surname").alias("k"), tk.name_leading_given("given").alias("l"))
+    side = lambda s, id: p.select(F.col("id").alias(id), *[F.col(c).alias(c + s) for c in "tkl"])
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") * 3).alias("other")).distinct()
+    met = lines.join(side("a", "l_partkey"), "l_partkey").join(side("b", "other"), "other")
+    return met.select(
+        "l_orderkey", "l_linenumber", (F.size(F.array_intersect("ta", "tb")) > 0).alias("any_token"),
+        ag.given_position_of(F.col("ta"), F.col("tb"), F.col("la"), F.col("lb")).alias("position"), ag.person_matches("ka", "ta", "kb", "tb").alias("person"),
+    )
+
+
+_PLAIN = lambda x: f"replace({x}, '''', '')"
+_EACH_PLAIN = lambda tokens: f"list_transform({tokens}, lambda v: {_PLAIN('v')})"
+_OTHER = "CASE WHEN p.l_linenumber % 3 = 0 THEN array_of(surname_b, '') WHEN p.l_linenumber % 3 = 1 THEN array_of(middle_b, NULL) END"
+
+
+@query(
+    over_pairs(
+        f"SELECT l_orderkey, l_linenumber, {st.sql_verdict('known', 'reason IS NOT NULL')} AS verdict, CASE WHEN known THEN reason END AS reason FROM reasons",
+        _SIDES,
+        _PARTS,
+        f"named AS (SELECT p.l_orderkey, p.l_linenumber, {st.sql_surname_match_type('s.ka', 's.kb', 's.xa', 's.xb')} AS kind, "
+        + ", ".join(f"{_PLAIN(st.sql_name_key(f'surname_{s}'))} AS p{s}, {_EACH_PLAIN(st.sql_surname_tokens(f'surname_{s}'))} AS t{s}, {_EACH_PLAIN(st.sql_middle_tokens(f'middle_{s}'))} AS m{s}" for s in "ab")
+        + ", list_filter(coalesce(" + _OTHER.replace("array_of(surname_b, '')", "[surname_b, '']").replace("array_of(middle_b, NULL)", "[middle_b, NULL]")
+        + ", []::VARCHAR[]), lambda v: v <> '') AS others FROM pairs p JOIN parts s ON p.l_orderkey = s.l_orderkey AND p.l_linenumber = s.l_linenumber AND p.id_a = s.id_a AND p.id_b = s.id_b)",
+        f"alternates AS (SELECT *, {_EACH_PLAIN(f'list_concat(list_transform(others, lambda o: {st.sql_name_key("o")}), flatten(list_transform(others, lambda o: {st.sql_surname_tokens("o")})))')} AS alt FROM named)",
+        "reasons AS (SELECT *, coalesce(pa <> '' AND pb <> '', false) AS known, CASE WHEN kind <> 'none' THEN kind WHEN list_has_any(list_concat([pb], tb), alt) THEN 'alternate_recorded' WHEN list_has_any(tb, ma) OR list_has_any(ta, mb) THEN 'maiden_as_middle' END AS reason FROM alternates)",
+    ).replace("sides AS (SELECT l_orderkey, l_linenumber,", "sides AS (SELECT l_orderkey, l_linenumber, id_a, id_b,")
+)
+def surname_agreement_pairs(spark, sf):
+    """With middle names on both sides and other surnames recorded for the first person."""
+    p = pairs(spark, sf).withColumn("others", F.expr(_OTHER.replace("array_of", "array").replace("p.l_", "l_")))
+    v = ag.surname_agreement("surname_a", "surname_b", "middle_a", "middle_b", alternates_a="others")
+    return p.select("l_orderkey", "l_linenumber", v.alias("v")).select("l_orderkey", "l_linenumber", "v.*")
+
+
+# --- whole columns, keys with reasons, samples, shared households --------------------------------------------------------------------
+
+_ADVANCED = lambda c: f"regexp_replace(replace({st.sql_npi_name(c)}, '''', ''), '\\s+', '', 'g')"
+
+
+@query(
+    over_people(
+        f"SELECT id, {_ADVANCED('given')} AS first_clean, {_ADVANCED('surname')} AS last_clean, {_ADVANCED('middle')} AS middle_clean, {st.sql_first_initial(_ADVANCED('given'))} AS first_initial, "
+        f"{st.sql_first_initial(_ADVANCED('middle'))} AS middle_initial, {st.sql_npi_name('surname')} AS surname_norm FROM people"
+    )
+)
+def physicians_people(spark, sf):
+    """normalize_physician_names and normalize_name_columns."""
+    p = tx.normalize_physician_names(people(spark, sf), "given", "surname", "middle", advanced_norm=True)
+    return tx.normalize_name_columns(p, ["surname"]).select("id", "first_clean", "last_clean", "middle_clean", "first_initial", "middle_initial", "surname_norm")
+
+
+@query(
+    over_people(
+        "SELECT id, s || '|' || i AS key, 'surname_initial' AS mode, 'surname+first_initial' AS components_used, s IS NOT NULL AND i IS NOT NULL AS informative, "
+        "CASE WHEN s IS NULL AND i IS NULL THEN 'missing_surname_and_first_initial' WHEN s IS NULL THEN 'missing_surname' WHEN i IS NULL THEN 'missing_first_initial' ELSE 'complete' END AS reason, "
+        f"s AS surname_key, i AS first_initial, NULL::INT AS prefix_n FROM (SELECT id, {st.sql_name_compact('surname')} AS s, {st.sql_first_initial('given')} AS i FROM people)"
+    )
+)
+def blocking_key_info_people(spark, sf):
+    return people(spark, sf).select("id", bk.blocking_key_info("surname", "given").alias("i")).select("id", "i.*")
+
+
+_DRAW = lambda k: f"sha256(concat_ws(chr(13), '7/{k}', id, candidate))"
+
+
+@query(
+    f"WITH {_COLLAPSED}, taken AS (SELECT id, candidate, evidence_class FROM per QUALIFY row_number() OVER (PARTITION BY evidence_class ORDER BY {_DRAW('take')}, id, candidate) <= 40) "
+    f"SELECT 'REV' || lpad((row_number() OVER (ORDER BY {_DRAW('order')}, id, candidate))::VARCHAR, 4, '0') AS review_id, id, candidate, evidence_class FROM taken"
+)
+def clerical_sample_lineitem(spark, sf):
+    """The key of a review sheet: at most 40 pairs of each class, which is what the operator is for."""
+    return quality.clerical_sample(resolve.collapse_candidates(candidates(spark, sf), tiebreak=["line", "score"]), 40, 7)[1]
+
+
+@query("SELECT a.p_partkey AS id_a, b.p_partkey AS id_b, a.p_name AS p_name, a.p_brand AS p_brand FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey")
+def shared_household_parts(spark, sf):
+    """Different people that share a household, as pairs that must not match."""
+    return quality.shared_keys(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey", ["p_name", "p_brand"])
+
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: a roster matched to a registry, counted by disposition and reason."""

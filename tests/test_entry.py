@@ -13,7 +13,7 @@ from rosterloom import queries
 ROOT = Path(__file__).resolve().parent.parent
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One query for each kind of operator; the driver compares them all.
-SOME = ["name_keys_people", "tokens_docs", "middle_agreement_pairs", "ledger_full_orders", "one_to_one_eligible_lineitem", "license_conformance_people", "seven_routes_people", "registry_json_events"]
+SOME = ["name_keys_people", "tokens_docs", "middle_agreement_pairs", "ledger_full_orders", "one_to_one_eligible_lineitem", "license_conformance_people", "seven_routes_people", "registry_json_events", "parse_person_people", "surname_agreement_pairs", "candidates_people", "schools_parts"]
 
 
 def test_imports_without_the_subpackage(tmp_path):

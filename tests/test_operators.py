@@ -183,3 +183,12 @@ def test_no_pair_of_all(spark):
     pairs = generate_candidates(with_names(df, F.col("npi"), names), registry_names(df, "npi", "type", names))
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("CartesianProduct", "NestedLoop", "Python", "Pandas"))
+
+
+def test_shared_keys(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "y"), (4, None, "x"), (5, None, "x")], "id int, house string, street string")
+    found = quality.shared_keys(rows, "id", ["house", "street"])
+    assert sorted((r.id_a, r.id_b) for r in found.collect()) == [(1, 2), (2, 1)]
+    assert quality.shared_keys(rows.limit(0), "id", ["house", "street"]).collect() == []
+    with pytest.raises(ValueError):
+        quality.shared_keys(rows, "id", ["none"])
