@@ -321,13 +321,14 @@ def luhn_derived_suppliers(spark, sf):
 
 
 @query(
-    f"WITH snap AS (SELECT {_DERIVED} AS npi, 'S' || (s_nationkey % 4) AS state FROM supplier WHERE s_suppkey % 3 <> 0), claims AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN '123' ELSE {_DERIVED} END AS npi, 's' || (s_suppkey % 4) AS state FROM supplier) "
+    f"WITH snap AS (SELECT {_DERIVED} AS npi, 'S' || (s_nationkey % 4) AS state FROM (SELECT s_nationkey, s_suppkey + CASE WHEN s_suppkey % 3 = 0 THEN 50000000 ELSE 0 END AS s_suppkey FROM supplier)), claims AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN '123' ELSE {_DERIVED} END AS npi, 's' || (s_suppkey % 4) AS state FROM supplier) "
     "SELECT s_suppkey, c.npi, c.npi <> '123' AS structurally_valid, s.npi IS NOT NULL AS in_snapshot, upper(c.state) = s.state AS state_match, "
     "CASE WHEN c.npi = '123' THEN 'invalid' WHEN s.npi IS NOT NULL THEN 'corroborated' ELSE 'unverified' END AS confidence FROM claims c LEFT JOIN snap s ON c.npi = s.npi"
 )
 def corroborate_suppliers(spark, sf):
     s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
-    snap = s.filter(k % 3 != 0).select(derived_npi(k).alias("npi"), F.concat(F.lit("S"), (F.col("s_nationkey") % 4).cast("string")).alias("state"))
+    filed = F.when(k % 3 == 0, k + 50_000_000).otherwise(k)  # each third supplier is filed under an id that nobody claims
+    snap = s.select(derived_npi(filed).alias("npi"), F.concat(F.lit("S"), (F.col("s_nationkey") % 4).cast("string")).alias("state"))
     claims = s.select("s_suppkey", F.when(k % 7 == 0, "123").otherwise(derived_npi(k)).alias("npi"), F.concat(F.lit("s"), (k % 4).cast("string")).alias("st"))
     out = corroborate.npi_corroborate(claims, "npi", snap, state="st")
     return out.select("s_suppkey", "npi", "structurally_valid", "in_snapshot", "state_match", "confidence")
@@ -354,7 +355,8 @@ def blocking_keys_people(spark, sf):
 
 def _ledger(spark, sf, kind):
     orders = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("key"))
-    customers = table(spark, sf, "customer").filter(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("key"), "c_name")
+    key = F.col("c_custkey")  # each third customer has a key that no order has
+    customers = table(spark, sf, "customer").select(F.when(key % 3 == 0, -key).otherwise(key).alias("key"), "c_name")
     found = ledger.ledgered_join(orders, customers, "key", kind, "many-to-one", step="orders").ledger
     numbers = ["rows_x", "rows_y", "rows_out", "rows_expected", "matched_pairs", "unmatched_x", "unmatched_y", "na_key_x", "na_key_y", "max_fanout"]
     return found.select("step", "kind", *[F.col(n).cast("long") for n in numbers], F.round("match_rate_x", 9).alias("match_rate_x"), "conserved")
@@ -362,7 +364,7 @@ def _ledger(spark, sf, kind):
 
 def _ledger_sql(kind: str) -> str:
     return f"""
-WITH x AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS key FROM orders), y AS (SELECT c_custkey AS key, c_name FROM customer WHERE c_custkey % 3 <> 0),
+WITH x AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS key FROM orders), y AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS key, c_name FROM customer),
 j AS (SELECT count(*)::BIGINT AS rows_out FROM x {kind.upper()} JOIN y ON x.key = y.key),
 m AS (SELECT count(*)::BIGINT AS matched_pairs FROM x JOIN y ON x.key = y.key), f AS (SELECT max(n)::BIGINT AS max_fanout FROM (SELECT count(*) AS n FROM x JOIN y ON x.key = y.key GROUP BY x.key)),
 u AS (SELECT (SELECT count(*) FROM x WHERE key IS NULL OR key NOT IN (SELECT key FROM y))::BIGINT AS unmatched_x, (SELECT count(*) FROM y WHERE key NOT IN (SELECT key FROM x WHERE key IS NOT NULL))::BIGINT AS unmatched_y)
@@ -422,20 +424,20 @@ def license_status_audit_orders(spark, sf):
 def clerical_counts_labels(spark, sf):
     rows = table(spark, sf, "labels")
     key = rows.select(F.col("doc_id").alias("review_id"), F.col("quality").alias("evidence_class"))
-    verdicts = rows.filter(F.col("doc_id") % 4 != 0).select(F.col("doc_id").alias("review_id"), (F.col("toxic") == 0).alias("is_match"))
+    judged = F.when(F.col("doc_id") % 4 != 0, F.col("toxic") == 0)  # each fourth row is not judged yet
+    verdicts = rows.select(F.col("doc_id").alias("review_id"), judged.alias("is_match"))
     return quality.clerical_counts(key, verdicts).withColumn("precision", F.round("precision", 9))
 
 
-_RARITY = "WITH freq AS (SELECT surname, row_number() OVER (ORDER BY n DESC, surname) AS rank, n * 100000.0 / sum(n) OVER () AS per_100k FROM (SELECT upper(split_part(p_name, ' ', 2)) AS surname, count(*) AS n FROM part GROUP BY 1)), top AS (SELECT * FROM freq WHERE rank <= 5)"
+_RARITY = "WITH freq AS (SELECT surname, row_number() OVER (ORDER BY n DESC, surname) AS rank, n * 100000.0 / sum(n) OVER () AS per_100k FROM (SELECT upper(split_part(p_name, ' ', 2)) AS surname, count(*) AS n FROM part GROUP BY 1))"
 
 
-@query(f"{_RARITY}, people AS ({PEOPLE}), keyed AS (SELECT id, {st.sql_name_key('people.surname')} AS key FROM people) SELECT id, key, rank::INT AS rank, round(per_100k, 6)::DOUBLE AS per_100k FROM keyed LEFT JOIN top ON key = top.surname")
+@query(f"{_RARITY}, people AS ({PEOPLE}), keyed AS (SELECT id, {st.sql_name_key('people.surname')} AS key FROM people) SELECT id, key, rank::INT AS rank, round(per_100k, 6)::DOUBLE AS per_100k FROM keyed LEFT JOIN freq ON key = freq.surname")
 def surname_rarity_people(spark, sf):
     words = table(spark, sf, "part").select(F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("surname"))
     counts = words.groupBy("surname").count()
     total = words.count()
-    freq = counts.orderBy(F.desc("count"), "surname").limit(5)  # the table holds its top five
-    ranked = freq.select("surname", F.expr("CAST(row_number() OVER (ORDER BY count DESC, surname) AS INT)").alias("rank"), (F.col("count") * 100000.0 / total).alias("per_100k"))
+    ranked = counts.select("surname", F.expr("CAST(row_number() OVER (ORDER BY count DESC, surname) AS INT)").alias("rank"), (F.col("count") * 100000.0 / total).alias("per_100k"))
     return tx.surname_rarity(people(spark, sf).select("id", "surname"), "surname", ranked).select("id", "key", "rank", F.round("per_100k", 6).alias("per_100k"))
 
 
