@@ -342,6 +342,7 @@ def _across(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     Documents outside a key's largest component are held against all of the key's. Both sides are dealt into blocks of some
     ``_BLOCK`` documents or ``_BLOCK_BYTES`` of sketches, and each pair of blocks is a unit of its own, so a key of any size
     is spread over the cluster and a task holds two blocks. Sketches join in last: only the deal into blocks carries them.
+    A pair that meets under several keys is reported for the least, so each document brings its list of keys.
     """
     sized = members.join(facts.select("doc", F.size("sketch").alias("longs")), "doc")
     by_comp = sized.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum(8 * F.col("longs")).alias("bytes"))
@@ -350,10 +351,11 @@ def _across(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     of_key = of_key.select(
         "key", F.col("main.comp").alias("main"), blocks(F.col("rows"), F.col("bytes")).alias("all_blocks"), blocks(F.col("rows") - F.col("main.size"), F.col("bytes") - F.col("main.bytes")).alias("own_blocks")
     )
-    rows = members.join(of_key, "key").join(facts, "doc")
+    held = members.groupBy("doc").agg(F.sort_array(F.collect_list("key")).alias("shared"))  # as many as a document has pieces
+    rows = members.join(of_key, "key").join(facts.join(held, "doc"), "doc")
     block = lambda seed, n: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["doc", "comp", "n", "sketch", (F.col("comp") == F.col("main")).alias("in_main")]
+    kept = ["doc", "comp", "n", "sketch", "shared", (F.col("comp") == F.col("main")).alias("in_main")]
     own = rows.filter("comp <> main").select("key", block(1, "own_blocks").alias("i"), every("all_blocks").alias("j"), F.lit(0).alias("side"), *kept)
     whole = rows.select("key", every("own_blocks").alias("i"), block(2, "all_blocks").alias("j"), F.lit(1).alias("side"), *kept)
 
@@ -366,24 +368,26 @@ def _across(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
             out.append(s)
         return np.stack(out)
 
-    def pairs_of(mine, theirs):
-        (dp, cp, np_, sp, _), (dq, cq, nq, sq, mq) = (list(zip(*side, strict=True)) for side in (mine, theirs))
+    def pairs_of(key, mine, theirs):
+        (dp, cp, np_, sp, kp, _), (dq, cq, nq, sq, kq, mq) = (list(zip(*side, strict=True)) for side in (mine, theirs))
         least = min(map(len, (*sp, *sq)))
         p, q = stacked(sp, least), stacked(sq, least)
         d1, c1, n1, d2, c2, n2 = (np.array(x, np.int64) for x in (dp, cp, np_, dq, cq, nq))
         main = np.array(mq, bool)
+        keys = [set(x) for x in kp]
         for a in range(len(d1)):
             ok = (c2 != c1[a]) & (main | (d2 > d1[a])) & (100 * np.minimum(n2, n1[a]) >= percent * np.maximum(n2, n1[a]))
             at = np.flatnonzero(ok)
             far = np.bitwise_count(q[at] ^ p[a]).sum(axis=1, dtype=np.int64) * (100 + percent) > (100 - percent) * (n2[at] + n1[a])
             for b in at[~far].tolist():
-                yield min(dp[a], dq[b]), max(dp[a], dq[b])
+                if min(keys[a].intersection(kq[b])) == key:
+                    yield min(dp[a], dq[b]), max(dp[a], dq[b])
 
     def run(batches):
         unit, sides = None, ([], [])
 
         def done():
-            found = list(pairs_of(*sides)) if all(sides) else []
+            found = list(pairs_of(unit[0], *sides)) if all(sides) else []
             for at in range(0, len(found), _BATCH_ROWS):
                 a, b = zip(*found[at : at + _BATCH_ROWS], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
