@@ -4,10 +4,11 @@ A document's token ids (with the end id) are cut into pieces of ``max_len`` and,
 digit of its length, longest first. Every piece is a sequence of its own at a power of two, so nothing is padded and no
 sequence crosses documents; ``bucket`` (the exponent) tells which pieces have equal length and can share a batch.
 
-The tokenizer lower-cases and drops white space, so a text's ids are those of its white-space chunks in turn. Chunks
-repeat, so each Python worker keeps the ids of the pieces it has seen as bytes; only unseen letter runs reach the
-tokenizer, many at a time. When a cache reaches ``CACHE`` entries, the half met last goes, and what is longer than ``LONG``
-characters isn't cached, so memory stays bounded whatever chunks are made of.
+The tokenizer lower-cases, drops white space and splits the rest into pieces that no token crosses, so a text's ids are those
+of its pieces in turn. Many texts are split at once on arrays of code points, Arrow numbers the block's distinct pieces, and
+each Python worker keeps the ids of the pieces it has seen as bytes; only unseen pieces reach the tokenizer's model. When a
+cache reaches ``CACHE`` entries, the half met last goes, and what is longer than ``LONG`` characters isn't cached, so memory
+stays bounded whatever texts are made of.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1; repeated rows are packed each; an empty
 table gives an empty result; other columns, of whatever name, are ignored. sequence_id numbers the pieces as the scan meets them, the same whenever a task is rerun.
@@ -15,9 +16,11 @@ table gives an empty result; other columns, of whatever name, are ignored. seque
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +34,76 @@ CACHE = 300_000
 #: Characters of a chunk that is cached at most; longer ones (base64, addresses) hardly repeat.
 LONG = 64
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
-#: The tokenizer's own split: a piece never crosses from one of these to the next.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Marks that are a piece of their own behind letters.
-_STOPS = frozenset(".,;:!?")
 #: What a text may hold that its chunks, looked up one by one, would not show; such texts go to the tokenizer whole.
 _WHOLE = ("<|startoftext|>", "<|endoftext|>", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 #: Beyond these letters, case and composition depend on more than one letter; such chunks go to the tokenizer as they are.
 _FURTHER = regex.compile(r"[^\x00-\u0130\u0132-\u0148\u014A-\u0177\u2010-\u2027]")
+#: Characters that are split at once, about; a longer text is cut at white space.
+BLOCK = 1 << 20
+_BLANK = re.compile(r"\s")
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+
+
+def _kind(c: str) -> int:
+    if _FURTHER.match(c):
+        return _OTHER
+    return _SPACE if c.isspace() else _LETTER if c.isalpha() else _DIGIT if unicodedata.category(c)[0] == "N" else _MARK
+
+
+#: The kind of each code point; the last entry stands for all that follow.
+_KINDS = np.array([_kind(chr(i)) for i in range(0x2029)], dtype=np.uint8)
 _LOADED: dict[str, "ChunkEncoder"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """What byte-level models read instead of a character: a printable one for each of its UTF-8 bytes."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [i for i in range(256) if i not in printable]
+    byte = {i: chr(i) for i in printable} | {i: chr(256 + k) for k, i in enumerate(others)}
+    return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(len(_KINDS) - 1)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _parts(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > BLOCK and (space := _BLANK.search(text, at + BLOCK)):
+        yield text[at : space.start()]
+        at = space.end()
+    yield text[at:] if at else text
+
+
+def _starts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Marks the code points at which the tokenizer's own split begins a piece.
+
+    The split is ``'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+``; a chunk that holds characters of ``_FURTHER`` stays
+    one piece. The last code point is white space.
+    """
+    starts = kinds == _DIGIT
+    starts[1:] |= kinds[1:] != kinds[:-1]
+    starts[0] = True
+    starts &= kinds != _SPACE
+    quotes = np.flatnonzero(starts & (codes == ord("'")))
+    for ending in ("s", "t", "m", "d", "re", "ve", "ll"):
+        at = quotes[quotes + len(ending) < len(codes)]
+        for k, c in enumerate(ending, 1):
+            at = at[codes[at + k] == ord(c)]
+        starts[at + 1] = False
+        at = at + len(ending) + 1
+        starts[at] = kinds[at] != _SPACE
+    further = np.flatnonzero(kinds == _OTHER)
+    if len(further):
+        first = kinds != _SPACE
+        first[1:] &= kinds[:-1] == _SPACE
+        chunk = np.cumsum(first)
+        held = np.zeros(chunk[-1] + 1, dtype=bool)
+        held[chunk[further]] = True
+        inside = held[chunk]
+        starts[inside] = first[inside]
+    return starts
+
+
 def _thin(cache: dict) -> None:
     """Keeps the half that was met first: frequent chunks come early."""
     kept = dict(islice(cache.items(), CACHE // 2))
@@ -50,76 +112,111 @@ def _thin(cache: dict) -> None:
 
 
 class ChunkEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, with bounded caches of chunks and letter runs."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes, with bounded caches of pieces and of ``_FURTHER`` chunks."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: The same model for letter runs that are split and lower-cased already.
-        self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        #: The bare merges, for pieces that are split and lower-cased already.
+        self.model = self.tokenizer.model
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, unseen: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not in the cache; all but the long ones go into it."""
-        out, split, new = {}, {}, set()
-        for c in unseen:
-            if not c.isascii() and _FURTHER.search(c):
-                out[c] = self.plain(c)
+    def learn(self, unseen: list[str]) -> list[bytes]:
+        """Ids of pieces that are split and lower-cased."""
+        tokenize = self.model.tokenize
+        ids: list[int] = []
+        stops = [0]
+        for p in unseen:
+            ids += [t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.translate(_BYTE_LETTERS))]
+            stops.append(4 * len(ids))
+        data = np.array(ids, dtype="<u4").tobytes()
+        return list(map(data.__getitem__, map(slice, stops, stops[1:])))
+
+    def look_up(self, listed: list[str]) -> list[bytes]:
+        """Ids of distinct pieces and chunks; all but the long ones go into the caches."""
+        out = list(map(self.pieces.get, listed))
+        unseen: list[int] = []
+        for i in [i for i, v in enumerate(out) if v is None]:
+            p = listed[i]
+            if p.isascii() or not _FURTHER.search(p):
+                unseen.append(i)
+            elif (v := self.chunks.get(p)) is not None:
+                out[i] = v
             else:
-                split[c] = p = [c] if c.isalpha() else [c[:-1], c[-1]] if c[-1] in _STOPS and c[:-1].isalpha() else _PIECES.findall(c)
-                new.update(p)
-        if len(self.pieces) + len(new) > CACHE:
+                out[i] = self.plain(p)
+                if len(p) <= LONG:
+                    if len(self.chunks) >= CACHE:
+                        _thin(self.chunks)
+                    self.chunks[p] = out[i]
+        if len(self.pieces) + len(unseen) > CACHE:
             _thin(self.pieces)
-        pieces = self.pieces
-        listed = [p for p in new if p not in pieces]
-        long: dict[str, bytes] = {}
-        for at in range(0, len(listed), 2000):
-            some = listed[at : at + 2000]
-            ids = np.array(self.bare.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            data = ids.tobytes()
-            if stops and len(stops) == len(some) and stops[-1] == len(data):
-                made = zip(some, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True)
-            else:
-                made = ((p, self.plain(p)) for p in some)
-            for p, v in made:
-                (pieces if len(p) <= LONG else long)[p] = v
-        find = (lambda p: pieces[p] if len(p) <= LONG else long[p]) if long else pieces.__getitem__
-        out.update((c, find(p[0]) if len(p) == 1 else b"".join(map(find, p))) for c, p in split.items())
-        self.chunks.update((c, v) for c, v in out.items() if len(c) <= LONG)
+        for i, v in zip(unseen, self.learn([listed[i] for i in unseen]), strict=True):
+            out[i] = v
+            if len(listed[i]) <= LONG:
+                self.pieces[listed[i]] = v
         return out
 
+    def block(self, texts: list[str]) -> list[bytes]:
+        """Ids of lower-cased texts whose pieces are found together."""
+        codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), dtype="<u4")
+        kinds = _KINDS.take(codes, mode="clip")
+        starts = _starts(codes, kinds)
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        counts = np.searchsorted(np.flatnonzero(starts), bounds)
+        solid = kinds != _SPACE
+        codes, starts = codes[solid], starts[solid]
+        if not len(codes):
+            return [b""] * len(texts)
+        offsets = np.append(np.flatnonzero(starts), len(codes))
+        if codes.max() < 0x80:
+            data = codes.astype(np.uint8).tobytes()
+        else:
+            wide = np.cumsum((codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000), dtype=np.int64)
+            offsets += np.append(0, wide)[offsets]
+            data = codes.tobytes().decode("utf-32-le").encode()
+        found = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        values = self.look_up(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        which = found.indices.to_numpy()
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(values), dtype="<u4")[np.repeat(begins[which] - ends + n, n) + np.arange(ends[-1])]
+        cuts = np.append(0, ends)[np.append(0, counts)].tolist()
+        return [ids[a:b].tobytes() for a, b in pairwise(cuts)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        split: list[tuple[int, list[str]]] = []
+        out: list[list[bytes]] = [[] for _ in texts]
+        some: list[tuple[int, str]] = []
+        size = 0
+
+        def finish() -> None:
+            for (i, _), ids in zip(some, self.block([t for _, t in some]), strict=True):
+                out[i].append(ids)
+            some.clear()
+
         for i, text in enumerate(texts):
             if any(s in text for s in _WHOLE):
-                out[i] = self.plain(text)
-            elif text.isascii() or not _FURTHER.search(text):
-                split.append((i, text.lower().split()))
+                out[i].append(self.plain(text))
+                continue
+            if text.isascii() or not _FURTHER.search(text):
+                text = text.lower()
             else:
-                split.append((i, [w if _FURTHER.search(w) else w.lower() for w in text.split()]))
-        needed = set().union(*(words for _, words in split))
-        if len(self.chunks) + len(needed) > CACHE:
-            _thin(self.chunks)
-        new = self.learn(needed.difference(self.chunks))
-        long = {c for c in new if len(c) > LONG}
-        get = self.chunks.__getitem__
-        for i, words in split:
-            if long and not long.isdisjoint(words):
-                out[i] = b"".join([new[w] if w in long else get(w) for w in words])
-            else:
-                out[i] = b"".join(map(get, words))
-        return out
+                text = " ".join([w if _FURTHER.search(w) else w.lower() for w in text.split()])
+            for part in _parts(text):
+                some.append((i, part))
+                size += len(part)
+                if size >= BLOCK:
+                    finish()
+                    size = 0
+        if some:
+            finish()
+        return [b"".join(parts) for parts in out]
 
 
 def encoder(path: str) -> ChunkEncoder:

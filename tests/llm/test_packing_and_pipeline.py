@@ -38,6 +38,26 @@ def test_long_chunks_are_not_cached():
     assert max(map(len, (*coder.chunks, *coder.pieces))) <= packing.LONG
 
 
+def test_only_unseen_pieces_reach_the_model(monkeypatch):
+    """Words that were met come again with other marks around them."""
+    coder = packing.ChunkEncoder(PATH)
+    coder.encode(["alpha beta it's gamma"])
+    reached, learn = [], coder.learn
+    monkeypatch.setattr(coder, "learn", lambda unseen: reached.extend(unseen) or learn(unseen))
+    texts = ["Alpha.### beta***\n(gamma),", "alpha###BETA's alpha.### 'it,"]
+    assert coder.encode(texts) == [plain(t) for t in texts]
+    assert sorted(reached) == sorted([".###", "***", "(", "),", "###", "'", ","])
+
+
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_texts_of_several_blocks(monkeypatch, size):
+    monkeypatch.setattr(packing, "BLOCK", size)
+    texts = [t for t in ODD if t is not None] * 2 + ["don't we'llx '''s 've'd'q re's ²½. 'Tis日本's é.É ", "x" * 200 + " 's" * 50]
+    coder = packing.ChunkEncoder(PATH)
+    assert coder.encode(texts) == [plain(t) for t in texts]
+    assert coder.block(["", " \n", "a b"]) == [b"", b"", plain("a b")]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4095, 4096, 4097, 12_345])
 def test_pieces(n):
     p = packing.power_pieces(n, 4096)
