@@ -192,3 +192,21 @@ def test_shared_keys(spark):
     assert quality.shared_keys(rows.limit(0), "id", ["house", "street"]).collect() == []
     with pytest.raises(ValueError):
         quality.shared_keys(rows, "id", ["none"])
+
+
+def test_equal_names_meet_as_names(spark):
+    """Pairs of rows aren't shuffled: ids come to pairs of names behind the last exchange; parts of a name's rows and copies all count."""
+    from rosterloom.operators.candidates import NameColumns, candidate_hits, distinct_names, generate_candidates, pairs_of_hits, registry_names, with_names
+
+    people = spark.range(60).selectExpr("cast(id as string) as id", "if(id % 3 = 0, 'Bob', 'Robert') as g", "concat('m', id % 2) as m", "if(id % 20 < 19, 'van Ring', 'Bolt') as s")
+    luhn = ["1234567893", "1046000000", "1053000000"]
+    registry = spark.createDataFrame([(n, "1", g, "m1", "Ring") for n in luhn for g in ("Bob", "Bob", "Robert")], "npi string, type string, g string, m string, s string")
+    names = NameColumns(given="g", middle="m", surname="s")
+    left, right = with_names(people, F.col("id"), names), registry_names(registry, "npi", "type", names)
+    once = distinct_names(right)
+    want = sorted(map(str, pairs_of_hits(candidate_hits(left, once), left, once).collect()))
+    for limit in (64 << 20, 0):
+        got = generate_candidates(left, right, broadcast_bytes=limit)
+        assert len(want) > 60 and sorted(map(str, got.collect())) == want
+    plan = generate_candidates(left, right)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(targets" in plan.split("Aggregate")[0]
