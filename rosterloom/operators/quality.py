@@ -126,7 +126,7 @@ def clerical_precision(key: DataFrame, verdicts: DataFrame, cls: str = "evidence
     return counts.sparkSession.createDataFrame(rows, schema)
 
 
-def shared_keys(df: DataFrame, id: str, on: list[str]) -> DataFrame:
+def shared_keys(df: DataFrame, id: str, on: list[str], broadcast_bytes: int = 64 << 20) -> DataFrame:
     """id_a, id_b and the columns ``on``: ordered pairs of rows with other ids that share all of ``on``; a null shares nothing.
 
     Known negatives of a matcher, as people of one household are. The result has n * (n - 1) rows for n rows of one key, so
@@ -134,5 +134,12 @@ def shared_keys(df: DataFrame, id: str, on: list[str]) -> DataFrame:
     """
     if missing := [c for c in (id, *on) if c not in df.columns]:
         raise ValueError(f"df is missing: {', '.join(missing)}")
-    side = lambda name: df.select(F.col(id).alias(name), *on)
-    return side("id_a").join(side("id_b"), on).filter("id_a <> id_b").select("id_a", "id_b", *on)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # each row meets the others of its key in lists of some 1024, so a frequent key is spread over tasks and no pair is shuffled
+    known = df.select(id, *on).dropna(subset=on)
+    lists = F.ceil(F.count(F.lit(1)).over(W.partitionBy(*on)) / 1024)
+    others = known.withColumn("__part", F.pmod(F.xxhash64(id), lists)).groupBy(*on, "__part").agg(F.collect_list(id).alias("__others")).drop("__part")
+    if known.count() * 48 <= broadcast_bytes:
+        others = F.broadcast(others)
+    met = known.withColumnRenamed(id, "id_a").repartition(tasks, "id_a").join(others, on)
+    return met.select("id_a", F.explode("__others").alias("id_b"), *on).filter("id_a <> id_b")

@@ -210,3 +210,16 @@ def test_equal_names_meet_as_names(spark):
         assert len(want) > 60 and sorted(map(str, got.collect())) == want
     plan = generate_candidates(left, right)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(targets" in plan.split("Aggregate")[0]
+
+
+def logical(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_keys_of_a_frequent_key(spark):
+    """A key's rows are spread over tasks and meet lists, joined both ways."""
+    df = spark.range(1500).selectExpr("id", "if(id < 1400, 'a', 'b') as house")
+    for limit in (64 << 20, 0):
+        found = quality.shared_keys(df, "id", ["house"], broadcast_bytes=limit)
+        assert found.count() == 1400 * 1399 + 100 * 99 and found.distinct().count() == found.count()
+    assert "Generate explode(" in logical(found)
