@@ -47,12 +47,12 @@ def quoted(value: str) -> str:
 
 def transliterate_upper(x: Column | str) -> Column:
     """Latin letters to ASCII, German umlauts to digraphs, upper case. Null stays null."""
-    out = F.regexp_replace(col(x), "\\x00", " ")
+    out = F.replace(col(x), F.lit("\x00"), F.lit(" "))
     for vowel in "uoa":
         out = F.regexp_replace(out, f"[{vowel}{vowel.upper()}]̈(?!\\p{{Mn}})", vowel.upper() + "E")
     # capitals of the letters that expand first become small ones, so each pair takes one step
     out = F.translate(out, _CAPITALS, _CAPITALS.lower())
-    out = reduce(lambda c, kv: F.regexp_replace(c, kv[0], kv[1]), _SMALL.items(), out)
+    out = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _SMALL.items(), out)
     return F.upper(F.translate(F.regexp_replace(out, "\\p{Mn}", ""), _FROM, _TO))
 
 

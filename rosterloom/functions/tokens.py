@@ -20,13 +20,21 @@ def _tokens(x: Column, separators: str, keep) -> Column:
 
 def surname_tokens(x: Column | str, strip_alternates: bool = True) -> Column:
     """Tokens of four characters or more that aren't particles."""
+    return surname_tokens_of_key(name_key(x, strip_alternates))
+
+
+def surname_tokens_of_key(k: Column) -> Column:
     particles = strings(vocab.SURNAME_PARTICLES)
-    return _tokens(name_key(x, strip_alternates), "[^A-Z']+", lambda t: (F.length(t) >= vocab.MIN_SURNAME_TOKEN) & ~F.array_contains(particles, t))
+    return _tokens(k, "[^A-Z']+", lambda t: (F.length(t) >= vocab.MIN_SURNAME_TOKEN) & ~F.array_contains(particles, t))
 
 
 def middle_tokens(x: Column | str, strip_alternates: bool = True) -> Column:
     """Tokens with a letter; hyphens don't split."""
-    return _tokens(blank_na(x, strip_alternates), "[^A-Z'-]+", lambda t: t.rlike("[A-Z]"))
+    return middle_tokens_of_key(name_key(x, strip_alternates))
+
+
+def middle_tokens_of_key(k: Column) -> Column:
+    return _tokens(k, "[^A-Z'-]+", lambda t: t.rlike("[A-Z]"))
 
 
 def given_tokens(given: Column | str, middle: Column | str | None = None, strip_alternates: bool = True) -> Column:
